@@ -200,37 +200,14 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> Iterator[np.ndarr
             yield np.unique(range_hash(s, at, at + k, _WORDS))
 
 
-def sliding_argmin(values: np.ndarray, w: int) -> np.ndarray:
-    """Position of the leftmost minimum of every w consecutive values."""
+def sliding_min(values: np.ndarray, w: int) -> np.ndarray:
+    """Minimum of every w consecutive values."""
     n = len(values) - w + 1
     low, span = values, 1
     while span * 2 <= w:
         low = np.minimum(low[: len(low) - span], low[span:])
         span *= 2
-    if span < w:
-        low = np.minimum(low[:n], low[w - span : w - span + n])
-    low = low[:n]
-    # The leftmost place: where the minimum of a window stays, its place stays; else look again.
-    out = np.empty(n, np.int64)
-    if n == 0:
-        return out
-    place = np.arange(len(values))
-    # last[i]: the nearest position at or after i that holds low[i]; found by grouping equal values.
-    order = np.argsort(values, kind="stable")
-    sv = values[order]
-    left = np.searchsorted(sv, low, "left")
-    distinct = np.empty(len(sv), bool)
-    distinct[:1] = True
-    distinct[1:] = sv[1:] != sv[:-1]
-    if distinct.all():
-        return order[left]
-    out = order[left]
-    bad = np.flatnonzero(out < place[:n])
-    while len(bad):
-        left[bad] += 1
-        out[bad] = order[left[bad]]
-        bad = bad[out[bad] < bad]
-    return out
+    return np.minimum(low[:n], low[w - span : w - span + n])
 
 
 # --------------------------------------------------------------------------- membership filter
@@ -240,34 +217,42 @@ class BitFilter:
     """A one-hash Bloom filter of fixed size (8 MB), whatever the number of keys.
 
     It may say yes to a key that was not put in, never no to one that was; as keys
-    grow it lets more through, and what reads it stays right.
+    grow it lets more through, and what reads it stays right.  ``mixed`` keys are well
+    mixed 64-bit values already and are used as they are.
     """
 
     WORDS = 1 << 20
 
-    def __init__(self, spark: SparkSession, keys: DataFrame, column: str):
-        h = F.xxhash64(F.col(column))
+    def __init__(self, keys: DataFrame, column: str, mixed: bool = False):
+        self.mixed = mixed
+        h = F.col(column) if mixed else F.xxhash64(F.col(column))
         rows = (
             keys.select(h.alias("h"))
             .groupBy(F.expr(f"h & {self.WORDS - 1}").cast("int").alias("at"))
             .agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 58) as int))")).alias("bits"))
+            .filter("at is not null")
             .toArrow()
         )
         bits = np.zeros(self.WORDS, np.uint64)
         bits[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
-        self.n_bytes = bits.nbytes
-        self.shared = spark.sparkContext.broadcast(bits)
+        self.empty = not len(rows)
+        self.shared = keys.sparkSession.sparkContext.broadcast(bits)
+
+    def __getstate__(self):
+        return {"mixed": self.mixed, "shared": self.shared, "empty": self.empty}
+
+    def test(self, h: np.ndarray) -> np.ndarray:
+        """Of mixed keys, or of keys hashed by Spark's xxhash64 (as uint64)."""
+        at = (h & np.uint64(self.WORDS - 1)).astype(np.int64)
+        return ((self.shared.value[at] >> (h >> np.uint64(58))) & np.uint64(1)).astype(bool)
 
-    def rows(self, df: DataFrame, column: str) -> DataFrame:
-        """Rows of ``df`` whose key may be in the filter."""
-        shared, schema = self.shared, df.schema
-        words = self.WORDS
+    def rows(self, df: DataFrame, column: str, inside: bool = True) -> DataFrame:
+        """Rows of ``df`` whose key may be in the filter; or, if not ``inside``, the others."""
+        schema = df.schema
 
         def run(batches):
-            bits = shared.value
             for b in batches:
                 h = b.column(b.num_columns - 1).to_numpy().view(np.uint64)
-                hit = (bits[(h & np.uint64(words - 1)).astype(np.int64)] >> (h >> np.uint64(58))) & np.uint64(1)
-                yield b.select(range(b.num_columns - 1)).filter(pa.array(hit.astype(bool)))
+                yield b.select(range(b.num_columns - 1)).filter(pa.array(self.test(h) == inside))
 
-        return df.withColumn("__h", F.xxhash64(F.col(column))).mapInArrow(run, schema)
+        return df.withColumn("__h", F.col(column) if self.mixed else F.xxhash64(F.col(column))).mapInArrow(run, schema)

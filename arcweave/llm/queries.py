@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from .fingerprint import op9_fingerprint
+from .minhash import op2_minhash
 from .mixing import op7_mixing
 from .sharding import op10_jump_sharding
+from .suffix import op5_suffix
+from .superkmer import op4_superkmer
 
 QUERIES = {
+    "op2_minhash": op2_minhash,
+    "op4_superkmer": op4_superkmer,
+    "op5_suffix": op5_suffix,
     "op7_mixing": op7_mixing,
     "op9_fingerprint": op9_fingerprint,
     "op10_jump_sharding": op10_jump_sharding,
@@ -36,3 +42,47 @@ SELECT doc_id, size, source_size, target,
        (whole * size + greatest(0, least(size, round(target)::BIGINT - whole * source_size - ahead)))::BIGINT AS taken, source
 FROM r
 """
+
+ORACLE_SQL["op2_minhash"] = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) < 2 THEN w ELSE [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))] END)) AS g
+  FROM d WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT c.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, c.doc_id = component_id AS kept
+FROM c LEFT JOIN n ON n.doc_id = c.doc_id
+"""
+
+ORACLE_SQL["op4_superkmer"] = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, i, array_to_string(w[i : i + 34], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+again AS (SELECT g FROM s GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM s JOIN again USING (g)),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+k AS (
+  SELECT doc_id, count(*) AS n_removed_not, string_agg(word, ' ' ORDER BY i) AS kept
+  FROM words LEFT JOIN gone USING (doc_id, i) WHERE gone.i IS NULL GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n_removed_not, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+ORACLE_SQL["op5_suffix"] = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+s AS (SELECT doc_id, i, b[i : i + 199] AS g FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 198)) AS i FROM d WHERE octet_length(b) >= 200)),
+again AS (SELECT g FROM s GROUP BY g HAVING count(*) > 1),
+hit AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS step FROM s JOIN again USING (g)),
+island AS (SELECT doc_id, i, sum(CASE WHEN step IS NULL OR step > 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM hit),
+span AS (SELECT doc_id, k, min(i) AS a, max(i) + 200 AS z FROM island GROUP BY doc_id, k),
+piece AS (SELECT span.doc_id, a, z, hex(b[coalesce(lag(z) OVER w, 1) : a - 1]) AS before, lead(z) OVER w IS NULL AS last, hex(b[z : octet_length(b)]) AS after
+          FROM span JOIN d USING (doc_id) WINDOW w AS (PARTITION BY span.doc_id ORDER BY a)),
+k AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, string_agg(before, '' ORDER BY a) || coalesce(max(after) FILTER (last), '') AS kept FROM piece GROUP BY doc_id)
+SELECT d.doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       CASE WHEN k.doc_id IS NULL THEN sha256(b) ELSE sha256(unhex(kept)) END AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
