@@ -67,6 +67,13 @@ class Scratch:
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Lets Spark hand Python at most ``most`` bytes at once, so that long texts don't fill a worker's memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int("".join(c for c in spark.conf.get(key, "67108864") if c.isdigit()) or 0) != most:
+        spark.conf.set(key, str(most))
+
+
 def n_words(text) -> F.Column:
     """Number of words of a text column (null: 0), as long."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
@@ -96,7 +103,7 @@ class _Powers:
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n + 1:
-            size = max(n + 1, 1 << 21)
+            size = max(n + 1, 1 << 17, min(2 * len(self.up), 1 << 22))
             with np.errstate(over="ignore"):
                 up, down = np.full(size, self.base), np.full(size, self.inv)
                 up[0] = down[0] = 1
@@ -148,7 +155,7 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def pieces(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of whole rows of about ``most`` bytes."""
     data, off = texts(column)
     i, n = 0, len(off) - 1

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BitFilter, Scratch, mix, pieces, shingle_sets
+from .common import BitFilter, Scratch, mix, pieces, shingle_sets, small_batches
 from .components import star_components
 
 #: 40 bands of 5 minima: a pair at similarity 0.8 shares none with probability (1 - 0.8**5)**40 = 1.2e-7.
@@ -146,6 +146,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
+    small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = scratch.keep(docs.mapInArrow(_signatures(k), "doc_id long, n long, d1 long, d2 long, sig binary, bands array<long>"), "signatures")
     # Classes of equal sets, named by their least id.
@@ -189,5 +190,22 @@ def _rest(members: DataFrame, stars: DataFrame, matcher: _Matcher, percent: int,
         left = large.filter("id <> pivot").select("key", "id", "n")
 
 
+def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each near-duplicate group, that with the least id, and all others; columns of ``docs`` stay.
+
+    Of several rows with one id one stays.  Rows with a null id, or without words, stay.
+    Only texts that may go are shuffled.
+    """
+    scratch = Scratch(docs.sparkSession, "without")
+    found = near_duplicates(docs, k, percent, id_col, text_col).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("kept").alias("kept")).filter("doc_id is not null and (n > 1 or not kept)")
+    found = scratch.keep(found, "going")
+    touched = BitFilter(found, "doc_id")
+    rows = docs.withColumn("__id", F.col(id_col).cast("long"))
+    maybe = touched.rows(rows, "__id").join(found.select(F.col("doc_id").alias("__g"), F.col("kept").alias("__kept")), F.col("__id") == F.col("__g"), "left")
+    stay = maybe.filter("__g is null").drop("__g", "__kept", "__id")
+    one = maybe.filter("__g is not null and __kept").dropDuplicates(["__id"]).drop("__g", "__kept", "__id")
+    return touched.rows(rows, "__id", inside=False).drop("__id").unionByName(stay).unionByName(one)
+
+
 def op2_minhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=2)

@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 from .fingerprint import op9_fingerprint
+from .media import op6_media
 from .minhash import op2_minhash
 from .mixing import op7_mixing
+from .packing import op1_best_fit_packing
+from .quality import op3_quality
 from .sharding import op10_jump_sharding
 from .suffix import op5_suffix
 from .superkmer import op4_superkmer
+from .toxicity import op8_toxicity
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op2_minhash": op2_minhash,
+    "op3_quality": op3_quality,
     "op4_superkmer": op4_superkmer,
     "op5_suffix": op5_suffix,
+    "op6_media": op6_media,
     "op7_mixing": op7_mixing,
+    "op8_toxicity": op8_toxicity,
     "op9_fingerprint": op9_fingerprint,
     "op10_jump_sharding": op10_jump_sharding,
 }

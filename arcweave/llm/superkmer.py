@@ -80,7 +80,7 @@ def _without(text: bytes, gone: np.ndarray) -> bytes:
     return data[keep].tobytes()
 
 
-def substring_dedup(docs: DataFrame, k: int = 35, id_col: str = "doc_id", text_col: str = "text", want_text: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, k: int = 35, id_col: str = "doc_id", text_col: str = "text", want_text: bool = True, carry_text: bool = True) -> DataFrame:
     """Removes every word covered by a k-word window whose words also start anywhere else.
 
     Words are compared unchanged; windows lie in one document and are judged on the
@@ -89,11 +89,12 @@ def substring_dedup(docs: DataFrame, k: int = 35, id_col: str = "doc_id", text_c
     rows are told apart by id and text.  An empty table gives an empty result.  Adds
     n_words, n_removed, kept_sha256 (kept words joined by one space) and, if asked,
     kept_text (the text without the removed words, other white space as it was).
-    Columns of ``docs`` stay; those with one of the added names are replaced.
+    Columns of ``docs`` stay (the text only if ``carry_text``); those with one of the
+    added names are replaced.
     """
     scratch = Scratch(docs.sparkSession, "superkmer")
     added = ["n_words", "n_removed", "kept_sha256", *(["kept_text"] if want_text else [])]
-    names = [c for c in docs.columns if c not in added]
+    names = [c for c in docs.columns if c not in added and (carry_text or c != text_col)]
     rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], F.xxhash64(id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
     hits = repeated_windows(rows.select("rid", "text"), "words", k, min(M, k), count_windows, scratch)
     out = apply_hits(rows, hits, _cut(k, want_text), "n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * want_text, scratch)

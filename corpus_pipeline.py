@@ -1,11 +1,69 @@
-"""A training-data pipeline over ``documents``: each stage is one operator of ``arcweave.llm``."""
+"""A training-data pipeline over ``documents``: each stage is one operator of ``arcweave.llm``.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet and read again as the next one's docs.  All but the last return the columns of
+``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from arcweave.llm.common import Scratch
+from arcweave.llm.minhash import without_near_duplicates
+from arcweave.llm.mixing import mixed_documents
+from arcweave.llm.packing import pack_documents
+from arcweave.llm.quality import fit_quality, score_documents
+from arcweave.llm.superkmer import substring_dedup
+
+#: A document goes if the quality network gives it less than this.
+LEAST_SCORE = 0.5
+#: Words of a passage that is cut if it occurs twice.
+PASSAGE = 35
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality network, fitted on the labelled ones, does not reject."""
+    net = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_documents(docs, net, score_col="__score").filter(F.col("__score") >= LEAST_SCORE).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five words, similarity 0.8)."""
+    return without_near_duplicates(docs, k=5, percent=80)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that occur elsewhere; those of which nothing is left go."""
+    cut = substring_dedup(docs, k=PASSAGE, carry_text=False).filter("n_removed = 0 or n_removed < n_words")
+    cut = cut.withColumnRenamed("kept_text", "text")
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return cut.select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix by target weights: one row a repetition, documents taken in part cut."""
+    return mixed_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all documents in bins of a fixed number of words."""
+    return pack_documents(docs)
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("substrings", substrings), ("mixing", mixing), ("packing", packing)]
+
+#: A trained network and a best-fit heuristic take part: SQL cannot say it.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    """All stages over ``documents``, each one's output written as Parquet and read again."""
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
