@@ -391,9 +391,9 @@ class Graph:
     @classmethod
     def from_matrix(cls, cells: DataFrame, directed: bool = False, n: int | None = None) -> Graph:
         """From (row, col, weight); undirected reads row <= col only. ``n`` adds isolated nodes up to n - 1."""
-        e = (cells if directed else cells.filter("row <= col")).filter("weight is not null")
+        e = (cells if directed else cells.filter(F.col("row") <= F.col("col"))).filter("weight is not null")
         e = indexed(e.select(F.col("row").cast("long").alias("src"), F.col("col").cast("long").alias("dst"), "weight"), ["src", "dst"], "eid").select("eid", "src", "dst", "weight")
-        v = cells.select(F.explode(F.array("row", "col")).cast("long").alias("id"))
+        v = cells.select(F.explode(F.array(F.col("row").cast("long"), F.col("col").cast("long"))).alias("id"))
         if n is not None:
             v = v.unionByName(cells.sparkSession.range(n))
         return cls(v.distinct().withColumn("attr", F.col("id")), e, directed)

@@ -285,7 +285,7 @@ def katz_centrality(graph: Graph, alpha: float = 0.1, beta: Expr | None = None,
             return pd.DataFrame({"id": g.ids, "katz": np.full(g.n, np.nan)})
 
         out = Steps(graph.spark).write(run_local(graph, kernel, "id long, katz double"))
-        if not out.filter("isnan(katz)").isEmpty():
+        if not out.filter("katz is null or isnan(katz)").isEmpty():
             raise ConvergenceFailed(max_iter, "Katz centrality did not settle")
         return out
     arcs = graph.arcs("out").select(F.col("dst").alias("from"), F.col("src").alias("to"), F.col("weight").cast("double").alias("w"))
@@ -330,7 +330,7 @@ def eigenvector_centrality(graph: Graph, max_iter: int = 1000, tol: float = 1e-6
             return pd.DataFrame({"id": g.ids, "eigenvector": np.full(g.n, np.nan)})
 
         out = Steps(graph.spark).write(run_local(graph, kernel, "id long, eigenvector double"))
-        if not out.filter("isnan(eigenvector)").isEmpty():
+        if not out.filter("eigenvector is null or isnan(eigenvector)").isEmpty():
             raise ConvergenceFailed(max_iter, "eigenvector centrality did not settle")
         return out
     n = graph.node_count()

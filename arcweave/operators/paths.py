@@ -95,7 +95,7 @@ def _bf_local(graph: Graph, source: int) -> DataFrame | None:
 
     steps = Steps(graph.spark)
     rows = steps.write(run_local(graph, kernel, "id long, dist double"))
-    return rows if rows.filter("isnan(dist)").isEmpty() else None
+    return rows if rows.filter("dist is null or isnan(dist)").isEmpty() else None
 
 
 def _path(rows: dict[int, tuple[float, int | None]], target: int) -> list[int]:

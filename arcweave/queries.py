@@ -193,9 +193,9 @@ query("personalized_pagerank", sql=_rank_sql("weight", "(id % 3) / (SELECT sum(i
 query(
     "katz_centrality",
     sql=", x0 AS MATERIALIZED (SELECT id, 0.0::DOUBLE AS x FROM v)"
-    + "".join(f", x{k + 1} AS MATERIALIZED (SELECT v.id, 0.001 * coalesce(s, 0) + 1 AS x FROM v LEFT JOIN (SELECT src, sum(weight * x) AS s FROM a JOIN x{k} ON id = dst GROUP BY src) z ON z.src = v.id)" for k in range(40))
+    + "".join(f", x{k + 1} AS MATERIALIZED (SELECT v.id, 0.0001 * coalesce(s, 0) + 1 AS x FROM v LEFT JOIN (SELECT src, sum(weight * x) AS s FROM a JOIN x{k} ON id = dst GROUP BY src) z ON z.src = v.id)" for k in range(40))
     + " SELECT id, round(x, 6) AS katz FROM x40",
-)(lambda g: _round(ce.katz_centrality(g, alpha=0.001, tol=1e-9), "katz"))
+)(lambda g: _round(ce.katz_centrality(g, alpha=0.0001, tol=1e-9), "katz"))
 query(
     "eigenvector_centrality",
     sql=", x0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE AS x FROM v)"
@@ -331,7 +331,7 @@ query("louvain")(lambda g: cm.louvain(g, 1))
 query("girvan_newman")(lambda g: cm.girvan_newman(g, 3))
 query("spectral_embeddings", "nation_trade")(lambda g: cm.spectral_embeddings(g, 3))
 query("spectral_clustering", "nation_trade")(lambda g: cm.spectral_clustering(g, 3, 1))
-query("modularity_by_attr", sql="SELECT round((SELECT sum(weight) FROM e JOIN v s ON s.id = src JOIN v d ON d.id = dst WHERE s.attr = d.attr) / m - (SELECT sum(k * k) FROM (SELECT attr, sum(weight) AS k FROM (SELECT src AS id, weight FROM e UNION ALL SELECT dst, weight FROM e) JOIN v USING (id) GROUP BY attr)) / (4 * m * m), 6) AS modularity FROM (SELECT sum(weight) AS m FROM e)")(lambda g: _round(cm.modularity(g, g.vertices.select("id", F.col("attr").alias("component"))), "modularity"))
+query("modularity_by_attr", sql="SELECT round((SELECT coalesce(sum(weight), 0) FROM e JOIN v s ON s.id = src JOIN v d ON d.id = dst WHERE s.attr = d.attr) / m - (SELECT sum(k * k) FROM (SELECT attr, sum(weight) AS k FROM (SELECT src AS id, weight FROM e UNION ALL SELECT dst, weight FROM e) JOIN v USING (id) GROUP BY attr)) / (4 * m * m), 6) AS modularity FROM (SELECT sum(weight) AS m FROM e)")(lambda g: _round(cm.modularity(g, g.vertices.select("id", F.col("attr").alias("component"))), "modularity"))
 query("max_clique")(ap.max_clique)
 query("clique_removal")(ap.clique_removal)
 query("maximum_independent_set")(ap.maximum_independent_set)
