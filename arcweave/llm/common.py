@@ -7,6 +7,7 @@ counts as empty everywhere.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -58,6 +59,11 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def release(self) -> None:
+        """Has the driver forget unused plans, so that Spark deletes their shuffle files."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame | None) -> None:
         jvm = self.spark._jvm
         for t in tables:

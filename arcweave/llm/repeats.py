@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTES, _TABLE, _WORDS, BitFilter, Scratch, mix, pieces, prefix_sums, sliding_min, word_hashes, word_spans
+from .common import _BYTES, _TABLE, _WORDS, BitFilter, Scratch, mix, pieces, prefix_sums, sliding_min, small_batches, word_hashes, word_spans
 
 #: A gram that anchors more runs than this is ranked behind all others.
 HOT = 512
@@ -137,7 +137,7 @@ def _ship_runs(kind: str, k: int, m: int, repeated: BitFilter, hot: BitFilter |
                         ],
                         names=["gram", "digest", "rid", "start", "n_windows", "content"],
                     )
-                    if len(seen) > 200_000:
+                    if len(seen) > 100_000:
                         seen.clear()
 
     return run
@@ -173,14 +173,16 @@ def _blocks(find: Callable[[list[bytes], int], list[np.ndarray]], k: int):
     def run(batches):
         rows, size, last = [], 0, None
         for b in batches:
-            for gram, digest, n, content in zip(*(b.column(c).to_pylist() for c in ("gram", "digest", "n", "content"))):
-                if gram != last and size > BLOCK:
-                    if out := close(rows):
-                        yield out
-                    rows, size = [], 0
-                last = gram
-                rows.append((digest, n, content))
-                size += len(content or b"")
+            for i in range(0, b.num_rows, 2048):
+                part = b.slice(i, 2048)
+                for gram, digest, n, content in zip(*(part.column(c).to_pylist() for c in ("gram", "digest", "n", "content"))):
+                    if gram != last and size > BLOCK:
+                        if out := close(rows):
+                            yield out
+                        rows, size = [], 0
+                    last = gram
+                    rows.append((digest, n, content))
+                    size += len(content or b"")
         if out := close(rows):
             yield out
 
@@ -195,6 +197,7 @@ def repeated_windows(docs: DataFrame, kind: str, k: int, m: int, find: Callable,
     among them.  Returns rid and ``hits``, an array of (start, n_windows, flags); texts
     without a repeated window have no row.
     """
+    small_batches(docs.sparkSession)
     grams = docs.mapInArrow(_count_grams(kind, k, m), "gram long").groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
     grams = scratch.keep(grams, "grams")
     repeated = BitFilter(grams, "gram", mixed=True)
@@ -234,11 +237,11 @@ def apply_hits(docs: DataFrame, hits: DataFrame, cut: Callable[[list[bytes], lis
     def run(batches):
         for b in batches:
             names = b.schema.names
-            found = b.column("hits").to_pylist() if "hits" in names else [None] * b.num_rows
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                found = part.column("hits").to_pylist() if "hits" in names else [None] * part.num_rows
                 texts = [x.encode() if x is not None else b"" for x in part.column("text").to_pylist()]
-                new = cut(texts, found[i : i + 512])
+                new = cut(texts, found)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), *new], schema=pa.schema([*(part.schema.field(c) for c in others), *(pa.field(f.split()[0], a.type) for f, a in zip(fields.split(", "), new))]))
 
     touched = here.rows(docs, "rid").join(hits, "rid", "left").mapInArrow(run, schema)
