@@ -82,8 +82,9 @@ def runs(units: Units, k: int, m: int, hot: BitFilter | None) -> Iterator[tuple[
         packed = ((h >> np.uint64(1)) & ~_PLACE) | np.arange(n, dtype=np.uint64)
         place = (sliding_min(packed, w) & _PLACE).astype(np.int64)
         least = place
-        if hot is not None and hot.test(h[np.unique(place[valid])]).any():
-            packed[hot.test(h)] |= _TOP
+        # Anchors are low in h, so their names are mixed once more: the filters want even bits.
+        if hot is not None and hot.test(mix(h[np.unique(place[valid])])).any():
+            packed[hot.test(mix(h))] |= _TOP
             place = (sliding_min(packed, w) & _PLACE).astype(np.int64)
         windows = np.flatnonzero(valid)
         if not len(windows):
@@ -93,7 +94,7 @@ def runs(units: Units, k: int, m: int, hot: BitFilter | None) -> Iterator[tuple[
         a = np.concatenate(([0], cut))
         z = np.concatenate((cut, [len(windows)])) - 1
         moved = np.logical_or.reduceat(p != q, a)
-        yield windows[a] + at, windows[z] + at + 1, h[p[a]], moved
+        yield windows[a] + at, windows[z] + at + 1, mix(h[p[a]]), moved
 
 
 def _count_grams(kind: str, k: int, m: int):
