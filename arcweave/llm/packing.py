@@ -117,7 +117,7 @@ def _pack(capacity: int):
         at = np.concatenate((owner, order))
         out = pd.DataFrame(
             {
-                "doc_id": pdf["doc_id"].to_numpy()[at] if not pdf["doc_id"].isna().any() else pdf["doc_id"].astype("Float64").astype("Int64").array[at],
+                "doc_id": pd.arrays.IntegerArray(pdf["doc_id"].to_numpy(np.int64)[at], pdf["no_id"].to_numpy(bool)[at]),
                 "piece": np.concatenate((piece, whole[order])).astype(np.int32),
                 "size": np.concatenate((np.full(len(owner), capacity), rest[order])).astype(np.int64),
                 "bin": np.concatenate((np.arange(len(owner)), local)),
@@ -169,7 +169,8 @@ def pack_documents(
     )
     empty = rows.filter("words = 0").select("doc_id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("size"), F.lit(None).cast("long").alias("bin"), F.lit(None).cast("int").alias("bin_offset"), F.lit(None).cast("int").alias("bin_fill"))
     shards = max(1, math.ceil(docs.count() / SHARD_ROWS))
-    items = rows.filter("words > 0").select("doc_id", "words", "source", "cluster", F.xxhash64("doc_id", "cluster", "words").alias("turn"))
+    # pandas would turn ids with nulls among them into floats.
+    items = rows.filter("words > 0").select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "words", "source", "cluster", F.xxhash64("doc_id", "cluster", "words").alias("turn"))
     items = items.withColumn("shard", F.pmod("turn", F.lit(shards)).cast("int"))
     packed = items.groupBy("shard").applyInPandas(_pack(capacity), RESULT)
     return packed.unionByName(empty)
