@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -30,13 +30,11 @@ def star_components(links: DataFrame, scratch: Scratch, max_rounds: int = 60) ->
     components' least nodes themselves.
     """
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    table = scratch.keep(edges, "links")
-    seen = _state(table)
+    table, seen = _write(edges, scratch, "links")
     for _ in range(max_rounds):
         if seen[0] == 0:
             return table
-        after = scratch.keep(_small_star(_large_star(table)), "stars")
-        state = _state(after)
+        after, state = _write(_small_star(_large_star(table)), scratch, "stars")
         scratch.drop(table)
         table = after
         if state == seen:
@@ -45,5 +43,10 @@ def star_components(links: DataFrame, scratch: Scratch, max_rounds: int = 60) ->
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("b").cast("decimal(38,0)"))).first())
+def _write(edges: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, tuple]:
+    """The written table, and its count and checksums as seen while writing."""
+    seen = Observation()
+    watched = edges.observe(seen, F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)).alias("x"), F.coalesce(F.sum(F.col("b").cast("decimal(20,0)")), F.lit(0)).alias("s"))
+    table = scratch.keep(watched, name)
+    got = seen.get
+    return table, (got["n"], got["x"], got["s"])

@@ -22,8 +22,15 @@ BANDS, ROWS = 40, 5
 N_HASH = BANDS * ROWS
 #: A pair whose estimate from N_HASH minima is this far below the threshold is dropped (over 6 standard deviations).
 SLACK = 0.2
-#: Buckets of at most this many classes compare all pairs not yet connected; larger ones go by pivots.
+#: Buckets of at most this many classes compare all pairs not yet connected; the members of larger ones are dealt anew.
 SMALL = 24
+#: (minima of a band, bands) of the further deals: random choices among the N_HASH minima.  At similarity 0.8 a pair
+#: shares a band but for a chance of about 1e-6, at 0.5 with one of 0.4 and 0.1.
+DEALS = ((8, 150), (12, 500))
+#: Members of a bucket that a round of :func:`_by_pivots` compares with all others, about.
+PIVOTS = 16
+#: Most ids that are broadcast (8 bytes each); more go through a filter of fixed size.
+FEW_IDS = 500_000
 
 _rng = np.random.default_rng(11)
 _A = _rng.integers(0, 2**31, N_HASH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -120,13 +127,15 @@ class _Matcher:
         both = pairs.join(sizes.toDF("a", "sig_a"), "a").join(sizes.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
         near = self.scratch.keep(both.mapInArrow(_estimate(self.percent / 100 - SLACK), "a long, b long"), name + "-near")
         ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        texts = BitFilter(ids, "id").rows(self.docs.select(F.col("doc_id").alias("id"), "text"), "id")
-        # One text per class, whatever rows share an id.
-        texts = texts.join(self.classes.select("id"), "id", "left_semi")
+        n_ids = ids.count()
+        if n_ids == 0:
+            return near
+        texts = self.docs.select(F.col("doc_id").alias("id"), "text")
+        texts = texts.join(F.broadcast(ids), "id", "left_semi") if n_ids <= FEW_IDS else BitFilter(ids, "id").rows(texts, "id")
         full = near.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-        out = self.scratch.keep(full.mapInArrow(_confirm(self.k, self.percent), "a long, b long").distinct(), name)
+        out = self.scratch.keep(full.mapInArrow(_confirm(self.k, self.percent), "a long, b long"), name)
         self.scratch.drop(near)
-        return out
+        return out.distinct()
 
 
 def _near_size(percent: int) -> F.Column:
@@ -170,24 +179,93 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     return out.select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept"))
 
 
+def _open(members: DataFrame, stars: DataFrame, scratch: Scratch) -> DataFrame:
+    """Members (with their components) of the keys under which not all are connected, by the way what a next step needs."""
+    known = members.join(stars.select(F.col("a").alias("id"), F.col("b").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    kinds = known.groupBy("key", "c").agg(F.count("*").alias("n_c"), F.min(F.struct("id", "n")).alias("first"))
+    keys = kinds.groupBy("key").agg(F.sum("n_c").alias("members"), F.min(F.struct("n_c", "c", "first")).alias("least"), F.max(F.struct("n_c", "c"))["c"].alias("most"), F.count("*").alias("kinds")).filter("kinds > 1")
+    return scratch.keep(known.join(keys.drop("kinds"), "key"), "open")
+
+
+def _cross(rows: DataFrame, percent: int) -> DataFrame:
+    """All pairs of unconnected members of keys with at most SMALL members."""
+    other = rows.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
+    pairs = rows.select("key", "id", "n", "c").join(other, "key").filter("id < id2 and c <> c2").filter(_near_size(percent))
+    return pairs.select(F.col("id").alias("a"), F.col("id2").alias("b"))
+
+
+def _wide_keys(rows: int, bands: int):
+    """Bucket keys of wider bands of signatures."""
+    r = np.random.default_rng(rows)
+    choice = np.stack([r.choice(N_HASH, rows, replace=False) for _ in range(bands)])
+    factor = r.integers(1, 2**63, rows, dtype=np.uint64) | np.uint64(1)
+    salt = r.integers(1, 2**63, bands, dtype=np.uint64)
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(-1, N_HASH)
+                keys = mix((sig[:, choice].astype(np.uint64) * factor).sum(axis=2, dtype=np.uint64) + salt)
+                take = np.repeat(np.arange(len(sig)), bands)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), part.column("id").take(pa.array(take)), part.column("n").take(pa.array(take))], names=["key", "id", "n"])
+
+    return run
+
+
 def _rest(members: DataFrame, stars: DataFrame, matcher: _Matcher, percent: int, scratch: Scratch) -> DataFrame:
-    """Adds the links between members of a bucket that its pivot leaves apart."""
+    """Adds the links between members of a bucket that its pivot leaves apart.
+
+    A small bucket compares all pairs that are not yet connected.  The members of
+    larger ones are dealt into new buckets by wider bands, where what is merely alike
+    thins out, and go by pivot and then the same way.  Buckets that stay large
+    compare their rarest component's least member with all others, one after another,
+    until all are compared or connected: exact, and rare.
+    """
     left = members.filter("members > 2 and id <> pivot").select("key", "id", "n")
+    for rows, bands in DEALS:
+        state = _open(left, stars, scratch)
+        if state.isEmpty():
+            return stars
+        pairs = _cross(state.filter(F.col("members") <= SMALL), percent)
+        again = state.filter(F.col("members") > SMALL).select("id", "c").distinct()
+        spread = matcher.classes.join(again, "id", "left_semi").select("id", "n", "sig").mapInArrow(_wide_keys(rows, bands), "key long, id long, n long")
+        spread = spread.join(again, "id")
+        stats = spread.groupBy("key").agg(F.count("*").alias("of"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct("id", "n", "c")).alias("p")).filter("of > 1 and c0 <> c1")
+        fresh = scratch.keep(spread.join(stats.select("key", "of", "p"), "key").filter("id <> p.id"), "dealt")
+        to_pivot = fresh.filter("c <> p.c").withColumn("n2", F.col("p.n")).filter(_near_size(percent))
+        pairs = pairs.unionByName(to_pivot.select(F.col("id").alias("a"), F.col("p.id").alias("b")))
+        links = matcher.links(pairs, "links")
+        if not links.isEmpty():
+            stars = star_components(stars.unionByName(links), scratch)
+        scratch.drop(state)
+        scratch.release()
+        left = fresh.filter("of > 2").select("key", "id", "n")
+    return _by_pivots(left, stars, matcher, percent, scratch)
+
+
+def _by_pivots(left: DataFrame, stars: DataFrame, matcher: _Matcher, percent: int, scratch: Scratch) -> DataFrame:
+    """Compares until every key's members are all compared or connected.
+
+    A round takes some members outside the largest component of each key, compares
+    them with all members of other components, and is done with them.
+    """
     while True:
-        known = left.join(stars.select(F.col("a").alias("id"), F.col("b").alias("c")), "id", "left").select("key", "id", "n", F.coalesce("c", "id").alias("c"))
-        kinds = known.groupBy("key", "c").agg(F.count("*").alias("n_c"), F.min(F.struct("id", "n")).alias("first"))
-        open_keys = kinds.groupBy("key").agg(F.sum("n_c").alias("members"), F.min(F.struct("n_c", "c", "first")).alias("least"), F.count("*").alias("kinds")).filter("kinds > 1")
-        state = scratch.keep(known.join(open_keys, "key").select("key", "id", "n", "c", "members", F.col("least.c").alias("pc"), F.col("least.first.id").alias("pivot"), F.col("least.first.n").alias("n2")), "open")
+        state = _open(left, stars, scratch)
         if state.isEmpty():
             return stars
-        small, large = state.filter(F.col("members") <= SMALL), state.filter(F.col("members") > SMALL)
-        other = small.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-        pairs = small.drop("n2").join(other, "key").filter("id < id2 and c <> c2").filter(_near_size(percent)).select(F.col("id").alias("a"), F.col("id2").alias("b"))
-        # A member of the rarest component against all of the others; then it has met all.
-        pairs = pairs.unionByName(large.filter("c <> pc").filter(_near_size(percent)).select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+        pairs = _cross(state.filter(F.col("members") <= SMALL), percent)
+        draw = F.pmod(F.xxhash64("id", "key", "members"), F.lit(1 << 20)) * F.col("members") < PIVOTS << 20
+        pivot = (F.col("id") == F.col("least.first.id")) | (F.col("c") != F.col("most")) & draw
+        large = state.filter(F.col("members") > SMALL).withColumn("pivot", pivot)
+        pivots = large.filter("pivot").select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
+        met = large.join(pivots, "key").filter("c <> c2 and id <> id2").filter(_near_size(percent))
+        pairs = pairs.unionByName(met.select(F.col("id").alias("a"), F.col("id2").alias("b")))
         links = matcher.links(pairs, "links")
-        stars = star_components(stars.unionByName(links), scratch)
-        left = large.filter("id <> pivot").select("key", "id", "n")
+        if not links.isEmpty():
+            stars = star_components(stars.unionByName(links), scratch)
+        scratch.release()
+        left = large.filter("not pivot").select("key", "id", "n")
 
 
 def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
