@@ -47,10 +47,11 @@ def indexed(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Adds ``name``, 0, 1, 2, ... in the given order, without sending all rows to one task.
 
     Rows are range-partitioned and written; each partition is numbered from the number
-    of rows before it.
+    of rows before it.  They are written first as they are, since finding the ranges
+    would else compute them twice.
     """
     steps = Steps(df.sparkSession)
-    placed = steps.write(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    placed = steps.write(steps.write(df).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     counts = placed.groupBy("__part").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
