@@ -28,7 +28,7 @@ SMALL = 24
 #: shares a band but for a chance of about 1e-6, at 0.5 with one of 0.4 and 0.1.
 DEALS = ((8, 150), (12, 500))
 #: Members of a bucket that a round of :func:`_by_pivots` compares with all others, about.
-PIVOTS = 16
+PIVOTS = 128
 #: Most ids that are broadcast (8 bytes each); more go through a filter of fixed size.
 FEW_IDS = 500_000
 
