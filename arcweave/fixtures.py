@@ -21,14 +21,11 @@ SELECT DISTINCT least(u, v) AS src, greatest(u, v) AS dst, weight FROM (
 WHERE k <= 5"""
 SUPPLIERS = "SELECT s_suppkey AS id, CAST(s_nationkey AS BIGINT) AS attr FROM {supplier}"
 
-#: Supplier nation to customer nation, weighed by number of lines; kept where it is among the three heaviest of the supplier nation.
+#: Supplier nation to customer nation, weighed by number of lines: every pair that occurs.
 NATION_TRADE = """
-SELECT src, dst, weight FROM (
-  SELECT src, dst, weight, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS k FROM (
-    SELECT CAST(s_nationkey AS BIGINT) AS src, CAST(c_nationkey AS BIGINT) AS dst, CAST(count(*) AS DOUBLE) AS weight
-    FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {supplier} ON l_suppkey = s_suppkey
-    GROUP BY s_nationkey, c_nationkey) p) q
-WHERE k <= 3"""
+SELECT CAST(s_nationkey AS BIGINT) AS src, CAST(c_nationkey AS BIGINT) AS dst, CAST(count(*) AS DOUBLE) AS weight
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {supplier} ON l_suppkey = s_suppkey
+GROUP BY s_nationkey, c_nationkey"""
 NATIONS = "SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(n_regionkey AS BIGINT) AS attr FROM {nation}"
 
 #: Region (10 + key) to nation (100 + key) to supplier (1000 + key): a forest.
