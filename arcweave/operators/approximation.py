@@ -173,52 +173,69 @@ def ramsey_r2(graph: Graph) -> tuple[DataFrame, DataFrame]:
     return max_clique(graph), maximum_independent_set(graph)
 
 
-def densest_subgraph(graph: Graph, plan: str = "auto", epsilon: float = 0.1) -> DataFrame:
-    """(id) of a dense part: vertices of least degree are peeled off, the densest stage stays.
-
-    Local: one at a time, within a factor 2 of the best.  Distributed: all vertices of
-    degree up to 2 (1 + epsilon) times the density at once.
+def densest_subgraph(graph: Graph, plan: str = "auto", epsilon: float | None = None) -> DataFrame:
+    """(id) of a dense part: vertices are peeled off in rounds, the densest stage (the earliest of such) stays.
+
+    A round takes all vertices of least degree and all of a degree below the greatest
+    density so far, which no densest part holds: within a factor 2 of the best.  With
+    ``epsilon`` it takes all of degree up to 2 (1 + epsilon) times the density: within
+    2 (1 + epsilon), in far fewer rounds where parts are sparse and long.  Both plans
+    follow the same rule; ``auto`` ends a large graph locally once the rest is small.
     """
-    if plan == "local" or plan == "auto" and fits(graph, SMALL):
 
-        def kernel(g: LocalGraph) -> pd.DataFrame:
-            near = _sets(g)
-            degree = [len(x) for x in near]
-            m, heap, alive = sum(degree) // 2, [(d, v) for v, d in enumerate(degree)], [True] * g.n
-            heapq.heapify(heap)
-            order, best, keep = [], 0.0, 0
-            n = g.n
-            if n and m:
-                best, keep = m / n, 0
-            while heap:
+    def kernel(g: LocalGraph, best: float = 0.0) -> pd.DataFrame:
+        near = _sets(g)
+        degree = [len(x) for x in near]
+        m, heap, alive = sum(degree) // 2, [(d, v) for v, d in enumerate(degree) if d], [d > 0 for d in degree]
+        heapq.heapify(heap)
+        order, keep, n = [v for v, d in enumerate(degree) if not d], -1, sum(alive)
+        while n:
+            if m / n > best:
+                best, keep = m / n, len(order)
+            while not alive[heap[0][1]] or heap[0][0] != degree[heap[0][1]]:
+                heapq.heappop(heap)
+            least, batch = heap[0][0], []
+            goes = lambda d: d <= least or d < best if epsilon is None else d <= 2 * (1 + epsilon) * (m / n)  # noqa: B023, E731
+            while heap and goes(heap[0][0]):
                 d, v = heapq.heappop(heap)
-                if not alive[v] or d != degree[v]:
-                    continue
-                alive[v] = False
-                order.append(v)
-                m -= degree[v]
-                n -= 1
+                if alive[v] and d == degree[v]:
+                    alive[v] = False
+                    batch.append(v)
+            touched = set()
+            for v in batch:
                 for u in near[v]:
+                    near[u].discard(v)
+                    degree[u] -= 1
+                    m -= 1
                     if alive[u]:
-                        degree[u] -= 1
-                        heapq.heappush(heap, (degree[u], u))
-                if n and m / n > best:
-                    best, keep = m / n, len(order)
-            return _frame(g, order[keep:]) if best else _frame(g, [])
+                        touched.add(u)
+            lone = [u for u in touched if not degree[u]]
+            for u in lone:
+                alive[u] = False
+            for u in touched.difference(lone):
+                heapq.heappush(heap, (degree[u], u))
+            order += batch + lone
+            n -= len(batch) + len(lone)
+        return _frame(g, order[keep:] if keep >= 0 else [])
 
+    if plan == "local" or plan == "auto" and fits(graph, SMALL):
         return run_local(graph, kernel, IDS)
     steps = Steps(graph.spark)
     e = steps.write(graph.edges.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
     best, keep = 0.0, graph.vertices.select("id").limit(0)
     while True:
         d = steps.write(e.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("d")))
-        n, ends = d.agg(F.count("*"), F.sum("d")).first()
+        n, ends, least = d.agg(F.count("*"), F.sum("d"), F.min("d")).first()
         if not n:
             return keep
+        if plan == "auto" and n + ends // 2 <= SMALL:
+            rest = Graph(d.select("id"), e.select(F.lit(0).cast("long").alias("eid"), F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1.0).alias("weight")))
+            top = steps.write(run_local(rest, lambda g: kernel(g, best), IDS))
+            return keep if top.isEmpty() else top
         density = ends / 2 / n
         if density > best:
             best, keep = density, d.select("id")
-        stay = d.filter(F.col("d") > 2 * (1 + epsilon) * density).select("id")
+        stay = d.filter((F.col("d") > least) & (F.col("d") >= best) if epsilon is None else F.col("d") > 2 * (1 + epsilon) * density).select("id")
         e = steps.write(e.join(stay.toDF("a"), "a", "left_semi").join(stay.toDF("b"), "b", "left_semi"))
 
 
