@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTES, _TABLE_LOWER, pieces, prefix_sums, range_hash, small_batches
+from .common import _BYTES, _TABLE_LOWER, Scratch, pieces, prefix_sums, range_hash, small_batches
 from .labelled import fold, training_sample
 
 #: A word is looked up whole and by its first bytes, each in a hashed table of its own.
@@ -221,39 +221,73 @@ def score_texts(net: WordNet, texts: list[bytes]) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0)
 
 
+#: Bins of the score's logit, from -30 to 30, that thresholds are chosen from.
+BINS = 12_000
+
+
 def calibrate(net: WordNet, texts: list[bytes], labels: list[int], langs: list, least: int = 20) -> None:
-    """Sets a threshold for each language: the score that gives the best F1 on these texts.
+    """Sets a threshold for each language from the scores of these texts (see ``set_thresholds``)."""
+    s = score_texts(net, texts)
+    at = np.clip(np.floor((np.log(s / (1 - s)) + 30) * (BINS / 60)), 0, BINS - 1).astype(int)
+    set_thresholds(net, [(lang, b, 1, y) for lang, b, y in zip(langs, at.tolist(), labels)], least)
+
+
+def set_thresholds(net: WordNet, counts: list[tuple], least: int = 20) -> None:
+    """Sets a threshold for each language from (language, bin, texts, texts of label 1): the gap between bins that gives the best F1.
 
     Languages with fewer than ``least`` texts, or without both labels, take that over all texts.
     """
-    s = score_texts(net, texts)
-    y = np.array(labels)
+    edge = lambda b: 1 / (1 + np.exp(30 - b * (60 / BINS)))
 
-    def best(use: np.ndarray) -> float | None:
-        if use.sum() < least or len(set(y[use].tolist())) < 2:
+    def best(rows: list[tuple]) -> float | None:
+        at = np.array([r[1] for r in rows], np.int64)
+        n, hit = (np.bincount(at, [r[k] for r in rows], BINS) for k in (2, 3))
+        if n.sum() < least or not 0 < hit.sum() < n.sum():
             return None
-        order = np.argsort(-s[use], kind="stable")
-        hit, v = y[use][order], s[use][order]
-        f1 = 2 * np.cumsum(hit) / (np.arange(1, len(hit) + 1) + hit.sum())
-        k = int(f1.argmax())
-        return float((v[k] + (v[k + 1] if k + 1 < len(v) else 0)) / 2)
-
-    net.thresholds = {"": best(np.ones(len(y), bool)) or 0.3}
-    for lang in sorted({x for x in langs if x}):
-        t = best(np.array([x == lang for x in langs]))
+        bins = np.flatnonzero(n)[::-1]
+        k = int((2 * np.cumsum(hit[bins]) / (np.cumsum(n[bins]) + hit.sum())).argmax())
+        return float((edge(bins[k]) + (edge(bins[k + 1] + 1) if k + 1 < len(bins) else 0)) / 2)
+
+    net.thresholds = {"": (best(counts) if counts else None) or 0.3}
+    for lang in sorted({r[0] for r in counts if r[0]}):
+        t = best([r for r in counts if r[0] == lang])
         if t is not None:
             net.thresholds[lang] = t
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, use: F.Column | None = None, n: int = TRAIN_DOCS) -> WordNet:
-    """A network fitted on at most ``n`` labelled rows (``use`` restricts them by doc_id).
+def score_counts(scored: DataFrame, labels: DataFrame, use: F.Column, fitted: list = []) -> list[tuple]:
+    """(language, bin, texts, texts of label 1) of all labelled rows of ``scored`` (doc_id, lang, score) where ``use`` holds.
 
-    Every fifth of them is kept from the fit: it tells when to stop and calibrates the thresholds.
+    Rows of the ids ``fitted``, whose scores the fit has pulled apart, are left out.
+    Only the counts come to the driver.
     """
-    found = training_sample(docs, labels, "toxic", F.lit(True) if use is None else use, extra=["lang"], n=n)
+    rows = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & use).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
+    if fitted:
+        gone = scored.sparkSession.createDataFrame([(i,) for i in fitted], scored.select("doc_id").schema)
+        rows = rows.join(F.broadcast(gone), "doc_id", "left_anti")
+    at = F.floor((F.log(F.col("score") / (1 - F.col("score"))) + 30) * (BINS / 60))
+    at = F.least(F.greatest(at, F.lit(0)), F.lit(BINS - 1)).cast("int")
+    found = scored.join(rows, "doc_id").groupBy("lang", at.alias("at")).agg(F.count("*").alias("n"), F.sum("y").alias("hits"))
+    return [tuple(r) for r in found.collect()]
+
+
+def fit_network(docs: DataFrame, labels: DataFrame, use: F.Column, n: int = TRAIN_DOCS) -> tuple[WordNet, list]:
+    """(a network fitted on at most ``n`` labelled rows, the ids it was fitted on); every fifth row is kept from the fit and tells when to stop."""
+    found = training_sample(docs.withColumn("of", F.col("doc_id")), labels, "toxic", use, extra=["of"], n=n)
     fit, rest = [x for i, x in enumerate(found) if i % 5], found[::5]
     net = train([t for t, _, _ in fit], [y for _, y, _ in fit], ([t for t, _, _ in rest], [y for _, y, _ in rest]))
-    calibrate(net, [t for t, _, _ in rest], [y for _, y, _ in rest], [lang for _, _, lang in rest])
+    return net, sorted({i for _, _, i in fit})
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, use: F.Column | None = None, n: int = TRAIN_DOCS) -> WordNet:
+    """A network fitted on at most ``n`` labelled rows (``use`` restricts them by doc_id).
+
+    Its thresholds are chosen over the whole texts of all other labelled rows, however many there are.
+    """
+    use = F.lit(True) if use is None else use
+    net, fitted = fit_network(docs, labels, use, n)
+    texts = docs.filter("text is not null").select("doc_id", "text", "lang").join(labels.filter(use).select("doc_id"), "doc_id", "left_semi")
+    set_thresholds(net, score_counts(score_toxicity(texts, net).drop("text"), labels, use, fitted))
     return net
 
 
@@ -289,6 +323,11 @@ def op8_toxicity(spark, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; every fourth fold of the ids is never learned from."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    net = fit_toxicity(docs, labels, fold("doc_id", 4) != 2)
-    out = flag_toxic(score_toxicity(docs.select("doc_id", "text", "lang"), net), net)
+    use = fold("doc_id", 4) != 2
+    net, fitted = fit_network(docs, labels, use)
+    # Scores are written once: thresholds are chosen from them and then applied to them.
+    rows = docs.select("doc_id", "text", "lang", F.col("text").isNotNull().alias("real"))
+    scored = Scratch(spark, "toxicity").keep(score_toxicity(rows, net).drop("text"))
+    set_thresholds(net, score_counts(scored.filter("real"), labels, use, fitted))
+    out = flag_toxic(scored, net)
     return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "flagged")
