@@ -135,7 +135,7 @@ def _pack(capacity: int):
 
 def exact_cluster(text) -> F.Column:
     """A cluster of documents equal but for case and white space."""
-    return F.xxhash64(F.lower(F.regexp_replace(F.trim(text), r"\s+", " ")))
+    return F.xxhash64(F.lower(F.trim(F.regexp_replace(text, r"\s+", " "))))
 
 
 def pack_documents(
