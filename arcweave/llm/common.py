@@ -197,11 +197,59 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     return range_hash(s, starts, ends, _BYTES)
 
 
+#: Texts longer than this are cut, between words, into parts of about this many bytes before they are laid out in arrays.
+PART = 1 << 20
+
+
+def _cuts(data: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Parts of one text, each cut behind a white-space byte where there is one."""
+    i = 0
+    while len(data) - i > most:
+        j = i + most
+        while j < len(data):
+            space = np.flatnonzero(_SPACE[data[j : j + most]])
+            if len(space):
+                j += int(space[0]) + 1
+                break
+            j += most
+        yield data[i : min(j, len(data))]
+        i = min(j, len(data))
+    yield data[i:]
+
+
+def _windows(h: np.ndarray, k: int) -> np.ndarray:
+    """Distinct hashes of all runs of k consecutive word hashes, sorted."""
+    s = prefix_sums(h, _WORDS)
+    at = np.arange(len(h) - k + 1)
+    return np.unique(range_hash(s, at, at + k, _WORDS))
+
+
+def _long_set(data: np.ndarray, k: int) -> np.ndarray:
+    """The shingle set of one long text, part by part: beside the set itself it takes the memory of a part."""
+    found, held, more = [], 0, np.zeros(0, np.uint64)
+    for part in _cuts(data, PART):
+        starts, ends, _ = word_spans(part, np.array([0, len(part)]))
+        more = np.concatenate((more, word_hashes(part, starts, ends, lower=True)))
+        if len(more) >= k:
+            found.append(_windows(more, k))
+            more = more[len(more) - k + 1 :]
+            held += len(found[-1])
+            if len(found) > 1 and held > 2 * len(found[0]):
+                found = [np.unique(np.concatenate(found))]
+                held = len(found[0])
+    if found:
+        return np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
+    return _windows(more, len(more)) if len(more) else more
+
+
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> Iterator[np.ndarray]:
     """For each row the sorted distinct hashes of its k-word shingles (lower-cased A-Z).
 
     With fewer than k words the whole sequence is one shingle; without words none.
     """
+    if len(off) == 2 and len(data) > PART:
+        yield _long_set(data, k)
+        return
     starts, ends, first = word_spans(data, off)
     h = word_hashes(data, starts, ends, lower=True)
     s = prefix_sums(h, _WORDS)

@@ -23,7 +23,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def star_components(links: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """Least reachable id of every node with a link.
 
-    ``links``: a, b (long).  Rows with a = b or a null are of no effect.  Nodes without
+    ``links``: a, b (of one orderable type).  Rows with a = b or a null are of no effect.  Nodes without
     links have no row.  Each star step is an aggregation (partial on the map side) and
     a join, so no task ever holds all neighbours of one node; every round is written
     to the shared folder.  Returns a table (a, b): node and its component, without the
@@ -46,7 +46,7 @@ def star_components(links: DataFrame, scratch: Scratch, max_rounds: int = 60) ->
 def _write(edges: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, tuple]:
     """The written table, and its count and checksums as seen while writing."""
     seen = Observation()
-    watched = edges.observe(seen, F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)).alias("x"), F.coalesce(F.sum(F.col("b").cast("decimal(20,0)")), F.lit(0)).alias("s"))
+    watched = edges.observe(seen, F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)).alias("x"), F.coalesce(F.bit_xor(F.xxhash64(F.lit("s"), "a", "b")), F.lit(0)).alias("s"))
     table = scratch.keep(watched, name)
     got = seen.get
     return table, (got["n"], got["x"], got["s"])

@@ -1,14 +1,25 @@
 """Near-duplicate documents: MinHash bands, verified links, connected components.
 
-Documents with one shingle set are folded into a class first.  Every class gets the
-minima of many universal hash functions; classes whose minima agree on a whole band
-meet in a bucket.  Members of a bucket are compared with its pivot, and, so that no
-link is lost, with each other as long as they are not yet known to be connected.  A
-pair passes the signature test, then a test on the full sets.
+1. Documents with one shingle set are folded into a class, named by its least id and
+   the digest of the set.  Every class has a signature, the minima of many universal
+   hash functions; classes whose minima agree on a whole band meet in a bucket.
+2. Every class is compared with one pivot, the one it meets in most buckets: a signature
+   test, then the full sets.  Connected components of these links come from alternating
+   large-star and small-star steps.
+3. Buckets with members of several components are open.  Components that meet in open
+   buckets are gathered in units around the largest one they meet; the classes of a unit
+   are packed into blocks of bounded size, and blocks of one unit, or of two that meet,
+   are compared set by set inside one task.  Only the links that join components come
+   out.  All members of open buckets are thus compared: nothing is capped.
+
+The work of step 2 is linear in the members of buckets.  That of step 3 is spread over
+pairs of blocks; rows moved grow with blocks, not with pairs of documents.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,17 +31,10 @@ from .components import star_components
 #: 40 bands of 5 minima: a pair at similarity 0.8 shares none with probability (1 - 0.8**5)**40 = 1.2e-7.
 BANDS, ROWS = 40, 5
 N_HASH = BANDS * ROWS
-#: A pair whose estimate from N_HASH minima is this far below the threshold is dropped (over 6 standard deviations).
-SLACK = 0.2
-#: Buckets of at most this many classes compare all pairs not yet connected; the members of larger ones are dealt anew.
-SMALL = 24
-#: (minima of a band, bands) of the further deals: random choices among the N_HASH minima.  At similarity 0.8 a pair
-#: shares a band but for a chance of about 1e-6, at 0.5 with one of 0.4 and 0.1.
-DEALS = ((8, 150), (12, 500))
-#: Members of a bucket that a round of :func:`_by_pivots` compares with all others, about.
-PIVOTS = 128
-#: Most ids that are broadcast (8 bytes each); more go through a filter of fixed size.
-FEW_IDS = 500_000
+#: A pair whose estimate from N_HASH minima is this far below the threshold is dropped (5 standard deviations).
+SLACK = 0.14
+#: Most classes of a block, and most bytes of their sets (8 a shingle) but for one class alone.
+BLOCK_ROWS, BLOCK_BYTES = 256, 2 << 20
 
 _rng = np.random.default_rng(11)
 _A = _rng.integers(0, 2**31, N_HASH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -38,6 +42,12 @@ _B = _rng.integers(0, 2**32, N_HASH, dtype=np.uint32)
 _BAND = _rng.integers(1, 2**63, ROWS, dtype=np.uint64) | np.uint64(1)
 _SALT = _rng.integers(1, 2**63, BANDS, dtype=np.uint64)
 
+#: Name of a class: ordered by its least doc_id, unique even where ids are not.
+CLASS = "struct<id: bigint, d1: bigint, d2: bigint>"
+
+
+# --------------------------------------------------------------------------- signatures
+
 
 def minima(shingles: np.ndarray) -> np.ndarray:
     """Minimum of each universal hash (a * x + b modulo 2**32) over a set of mixed 64-bit shingle hashes."""
@@ -50,96 +60,339 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     return low
 
 
-def band_keys(low: np.ndarray) -> np.ndarray:
-    """One 64-bit bucket key per band; ``low`` is (documents, N_HASH)."""
-    parts = low.reshape(len(low), BANDS, ROWS).astype(np.uint64)
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """One 64-bit bucket key per band; ``sig`` is (classes, N_HASH)."""
+    parts = sig.reshape(len(sig), BANDS, ROWS).astype(np.uint64)
     return mix((parts * _BAND).sum(axis=2, dtype=np.uint64) + _SALT)
 
 
+def digest(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set."""
+    with np.errstate(over="ignore"):
+        sums = np.array([shingles.sum(dtype=np.uint64), (shingles * (shingles >> np.uint64(7) | np.uint64(1))).sum(dtype=np.uint64)])
+    one, two = mix(sums).view(np.int64)
+    return int(one), int(two)
+
+
 def _signatures(k: int):
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id")
             for i, j, data, off in pieces(batch.column("text")):
-                low = np.zeros((j - i, N_HASH), np.uint32)
-                n, d1, d2 = np.zeros(j - i, np.int64), np.zeros(j - i, np.uint64), np.zeros(j - i, np.uint64)
+                sig = np.zeros((j - i, N_HASH), np.uint16)
+                n, names = np.zeros(j - i, np.int64), np.zeros((j - i, 2), np.int64)
                 for r, s in enumerate(shingle_sets(data, off, k)):
-                    n[r] = len(s)
+                    n[r], names[r] = len(s), digest(s)
                     if len(s):
-                        low[r] = minima(s)
-                        d1[r], d2[r] = s.sum(dtype=np.uint64), (s * (s >> np.uint64(7) | np.uint64(1))).sum(dtype=np.uint64)
-                keys = band_keys(low)
-                sig = np.ascontiguousarray(low.astype(np.uint16))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(i, j - i),
-                        pa.array(n),
-                        pa.array(mix(d1).view(np.int64)),
-                        pa.array(mix(d2).view(np.int64)),
-                        pa.array([x.tobytes() for x in sig], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel().view(np.int64))),
-                    ],
-                    names=["doc_id", "n", "d1", "d2", "sig", "bands"],
-                )
+                        sig[r] = minima(s).astype(np.uint16)
+                columns = [ids.slice(i, j - i), pa.array(n), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([x.tobytes() for x in sig], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "d1", "d2", "sig"])
+
+    return run
+
+
+def _sets(k: int):
+    """Texts to (doc_id, d1, d2, n, set): the sorted 64-bit shingle hashes as bytes."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("doc_id")
+            for i, j, data, off in pieces(batch.column("text")):
+                sets = list(shingle_sets(data, off, k))
+                names = np.array([digest(s) for s in sets], np.int64).reshape(-1, 2)
+                columns = [ids.slice(i, j - i), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "d1", "d2", "n", "set"])
 
     return run
 
 
+def _keys(shared: BitFilter | None):
+    """(c, n, key) of every class and band, or of those whose key may be in ``shared``."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 2048):
+                part = b.slice(i, 2048)
+                keys = band_keys(_matrix(part.column("sig"))).ravel()
+                at = np.arange(len(keys)) if shared is None else np.flatnonzero(shared.test(keys))
+                rows = part.select(["c", "n"]).take(pa.array(at // BANDS))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(keys[at].view(np.int64))], names=["c", "n", "key"])
+
+    return run
+
+
+def _bare_keys(batches):
+    for b in batches:
+        for i in range(0, b.num_rows, 2048):
+            yield pa.RecordBatch.from_arrays([pa.array(band_keys(_matrix(b.column("sig").slice(i, 2048))).ravel().view(np.int64))], names=["key"])
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, N_HASH)
+
+
+# --------------------------------------------------------------------------- pairs with a pivot
+
+
 def _estimate(least: float):
     """Keeps the pairs whose signatures agree on at least that share; drops the signatures."""
 
     def run(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, N_HASH) for c in ("sig_a", "sig_b"))
-            yield b.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= least))
+            for i in range(0, b.num_rows, 4096):
+                part = b.slice(i, 4096)
+                if part.num_rows:
+                    near = (_matrix(part.column("sig_a")) == _matrix(part.column("sig_b"))).mean(axis=1) >= least
+                    yield part.select(["a", "b"]).filter(pa.array(near))
 
     return run
 
 
-def _confirm(k: int, percent: int):
+def _confirm(percent: int):
     """Keeps the pairs with 100 * intersection >= percent * union on the full sets."""
 
     def run(batches):
         for b in batches:
-            ta, tb = b.column("text_a"), b.column("text_b")
-            for i, j, data, off in pieces(ta):
-                other = next(iter(pieces(tb.slice(i, j - i), 1 << 40)))
-                hit = np.zeros(j - i, bool)
-                for r, (x, y) in enumerate(zip(shingle_sets(data, off, k), shingle_sets(other[2], other[3], k))):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    hit[r] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
-                yield b.select(["a", "b"]).slice(i, j - i).filter(pa.array(hit))
+            hit = np.zeros(b.num_rows, bool)
+            for r, (x, y) in enumerate(zip(b.column("set_a"), b.column("set_b"))):
+                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                hit[r] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+            yield b.select(["a", "b"]).filter(pa.array(hit))
 
     return run
 
 
-class _Matcher:
-    """Signature test, then the test on full sets, for pairs (a, b) of class ids."""
+# --------------------------------------------------------------------------- blocks
+
+
+@dataclass
+class Block:
+    """Classes (ids and digests), the names of their components, and their sets one after another."""
+
+    c: np.ndarray
+    comp: np.ndarray
+    size: np.ndarray
+    sets: np.ndarray
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, k: int, percent: int, scratch: Scratch):
-        self.docs, self.classes, self.k, self.percent, self.scratch = docs, classes, k, percent, scratch
+    def pack(self) -> bytes:
+        raw = b"".join(np.ascontiguousarray(x).tobytes() for x in (np.array([len(self.c)]), self.c, self.comp, self.size, self.sets))
+        return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
-    def links(self, pairs: DataFrame, name: str) -> DataFrame:
-        sizes = self.classes.select("id", "sig")
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        both = pairs.join(sizes.toDF("a", "sig_a"), "a").join(sizes.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
-        near = self.scratch.keep(both.mapInArrow(_estimate(self.percent / 100 - SLACK), "a long, b long"), name + "-near")
-        ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        n_ids = ids.count()
-        if n_ids == 0:
-            return near
-        texts = self.docs.select(F.col("doc_id").alias("id"), "text")
-        texts = texts.join(F.broadcast(ids), "id", "left_semi") if n_ids <= FEW_IDS else BitFilter(ids, "id").rows(texts, "id")
-        full = near.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-        out = self.scratch.keep(full.mapInArrow(_confirm(self.k, self.percent), "a long, b long"), name)
-        self.scratch.drop(near)
-        return out.distinct()
+    @classmethod
+    def unpack(cls, data: bytes) -> Block:
+        raw = np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd"), np.int64)
+        m = int(raw[0])
+        return cls(raw[1 : 1 + 3 * m].reshape(m, 3), raw[1 + 3 * m : 1 + 6 * m].reshape(m, 3), raw[1 + 6 * m : 1 + 7 * m], raw[1 + 7 * m :].view(np.uint64))
 
 
-def _near_size(percent: int) -> F.Column:
-    return F.expr(f"100 * least(n, n2) >= {percent} * greatest(n, n2)")
+def _names(column: pa.Array) -> np.ndarray:
+    """(rows, 3) numbers of a struct column of class names."""
+    return np.stack([np.asarray(x) for x in column.flatten()], axis=1).astype(np.int64)
+
+
+def _name_column(names: np.ndarray) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(names[:, i])) for i in range(3)], names=["id", "d1", "d2"])
+
+
+def _pack(batches):
+    """Sorted rows (unit, core, c, comp, n, set) to blocks (unit, core, block, payload).
+
+    A block holds consecutive classes of one unit, core or not, and is named by its
+    first class.
+    """
+    open_, held, at = [], 0, None
+
+    def close():
+        block = Block(*(np.concatenate([x[i] for x in open_]) for i in range(4)))
+        columns = [_name_column(np.array([at[:3]])), pa.array([bool(at[3])]), _name_column(block.c[:1]), pa.array([block.pack()], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["unit", "core", "block", "payload"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        unit, c, comp = (_names(b.column(x)) for x in ("unit", "c", "comp"))
+        core = b.column("core").to_numpy(zero_copy_only=False)
+        for r, s in enumerate(b.column("set")):
+            here, s = (*unit[r].tolist(), bool(core[r])), np.frombuffer(s.as_buffer(), np.uint64)
+            if open_ and (here != at or len(open_) == BLOCK_ROWS or held + 8 * len(s) > BLOCK_BYTES):
+                yield close()
+                open_, held = [], 0
+            at, held = here, held + 8 * len(s)
+            open_.append((c[r : r + 1], comp[r : r + 1], np.array([len(s)]), s.copy()))
+    if open_:
+        yield close()
+
+
+def shared_counts(x: np.ndarray, x_off: np.ndarray, y: np.ndarray, y_off: np.ndarray) -> np.ndarray:
+    """Intersection sizes of every set of x with every set of y.
+
+    Hashes that many sets on both sides hold are multiplied as 0/1 matrices, some
+    thousand at a time; rare ones are paired one by one.
+    """
+    mx, my = len(x_off) - 1, len(y_off) - 1
+    both = np.zeros((mx, my), np.float64)
+    common = np.intersect1d(np.unique(x), np.unique(y), assume_unique=True)
+    if not len(common):
+        return both
+
+    def entries(h, off):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        inside = common[at] == h
+        return np.repeat(np.arange(len(off) - 1), np.diff(off))[inside], at[inside]
+
+    (xr, xc), (yr, yc) = entries(x, x_off), entries(y, y_off)
+    nx, ny = np.bincount(xc, minlength=len(common)), np.bincount(yc, minlength=len(common))
+    dense = nx * ny >= max(64, mx * my // 256)
+    number = np.cumsum(dense) - 1
+    width = 4096
+    for lo in range(0, int(dense.sum()), width):
+        def table(r, c, m):
+            take = dense[c]
+            r, c = r[take], number[c[take]] - lo
+            ok = (c >= 0) & (c < width)
+            t = np.zeros((m, min(width, int(dense.sum()) - lo)), np.float32)
+            t[r[ok], c[ok]] = 1
+            return t
+
+        both += table(xr, xc, mx) @ table(yr, yc, my).T
+    rare = ~dense[xc]
+    if rare.any():
+        order = np.argsort(yc, kind="stable")
+        first = np.concatenate(([0], np.cumsum(ny)))
+        xr, xc = xr[rare], xc[rare]
+        step = max(1, (1 << 21) // max(1, int(ny[xc].max())))
+        for i in range(0, len(xr), step):
+            r, c = xr[i : i + step], xc[i : i + step]
+            times = ny[c]
+            inner = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+            other = yr[order[np.repeat(first[c], times) + inner]]
+            both += np.bincount(np.repeat(r, times) * my + other, minlength=mx * my).reshape(mx, my)
+    return both
+
+
+def block_links(x: Block, y: Block, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names (a, b) of linked classes of two blocks that join components, no more than needed to join them."""
+    none = np.zeros((0, 3), np.int64)
+    _, label = np.unique(np.concatenate((x.comp, y.comp)), axis=0, return_inverse=True)
+    label = label.ravel()
+    lx, ly = label[: len(x.c)], label[len(x.c) :]
+    if (label == label[0]).all():
+        return none, none
+    offs = [np.concatenate(([0], np.cumsum(b.size))) for b in (x, y)]
+    both = shared_counts(x.sets, offs[0], y.sets, offs[1])
+    hit = (both > 0) & (100 * both >= percent * (x.size[:, None] + y.size[None, :] - both)) & (lx[:, None] != ly[None, :])
+    i, j = np.nonzero(hit)
+    if not len(i):
+        return none, none
+    u, v = np.minimum(lx[i], ly[j]), np.maximum(lx[i], ly[j])
+    _, first = np.unique(u * (len(label) + 1) + v, return_index=True)
+    root = list(range(int(label.max()) + 1))
+
+    def find(n):
+        while root[n] != n:
+            root[n] = root[root[n]]
+            n = root[n]
+        return n
+
+    take = []
+    for t in first.tolist():
+        p, q = find(int(u[t])), find(int(v[t]))
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            take.append(t)
+    return x.c[i[take]], y.c[j[take]]
+
+
+def _compare(percent: int):
+    def run(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                x, y = (Block.unpack(b.column(c)[r].as_py()) for c in ("payload_a", "payload_b"))
+                a, z = block_links(x, y, percent)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([_name_column(a), _name_column(z)], names=["a", "b"])
+
+    return run
+
+
+def _open_links(met: DataFrame, stars: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame | None:
+    """Links between components that meet in a bucket (None where no bucket has several)."""
+    known = met.join(stars.toDF("c", "comp"), "c", "left").select("key", "c", F.coalesce("comp", "c").alias("comp"))
+    known = scratch.keep(known, "known")
+    several = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    kinds = scratch.keep(known.join(several, "key").groupBy("key", "comp").agg(F.lit(True).alias("open")).drop("open"), "kinds")
+    if kinds.isEmpty():
+        return None
+    # The largest component that a component meets is its unit.
+    members = scratch.keep(known.join(kinds.select("comp").distinct(), "comp", "left_semi").groupBy("c").agg(F.min("comp").alias("comp")), "members")
+    sizes = members.groupBy("comp").agg(F.count("*").alias("of"))
+    kinds = kinds.join(sizes, "comp")
+    largest = kinds.groupBy("key").agg(F.max(F.struct("of", "comp")).alias("largest"))
+    units = kinds.join(largest, "key").groupBy("comp").agg(F.max("largest")["comp"].alias("unit"))
+    units = scratch.keep(units, "units")
+    present = kinds.join(units, "comp").select("key", "unit").distinct()
+    meet = present.toDF("key", "u").join(present.toDF("key", "v"), "key").filter("u <= v").select("u", "v").distinct()
+    meet = scratch.keep(meet, "meet")
+    rows = members.join(units, "comp").join(sets.select("c", "n", "set"), "c")
+    rows = rows.select("unit", (F.col("comp") == F.col("unit")).alias("core"), "c", "comp", "n", "set")
+    rows = scratch.keep(rows, "rows")
+    blocks = rows.repartitionByRange("unit", "core", "c").sortWithinPartitions("unit", "core", "c").mapInArrow(_pack, f"unit {CLASS}, core boolean, block {CLASS}, payload binary")
+    blocks = scratch.keep(blocks, "blocks")
+    scratch.drop(known, rows)
+    at = blocks.select("unit", "core", "block")
+    pairs = meet.join(at.toDF("u", "core_a", "a"), "u").join(at.toDF("v", "core_b", "b"), "v")
+    pairs = pairs.filter("u <> v or a <= b and not (core_a and core_b)").select("a", "b")
+    load = blocks.select("block", "payload")
+    pairs = pairs.join(load.toDF("a", "payload_a"), "a").join(load.toDF("b", "payload_b"), "b")
+    return scratch.keep(pairs.select("payload_a", "payload_b").mapInArrow(_compare(percent), f"a {CLASS}, b {CLASS}"), "links")
+
+
+# --------------------------------------------------------------------------- whole operator
+
+
+def _named_rows(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """(doc_id, n, d1, d2, component) of every row; component: name of the least class reachable, null without a class."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = scratch.keep(docs.mapInArrow(_signatures(k), "doc_id long, n long, d1 long, d2 long, sig binary"), "signatures")
+    # Classes of equal sets; partial sums on the map side make one row a task of any group of copies.
+    least = rows.filter("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n", "sig")).alias("m"))
+    classes = least.select(F.expr("named_struct('id', m.doc_id, 'd1', d1, 'd2', d2)").alias("c"), "m.n", "m.sig")
+    classes = scratch.keep(classes, "classes")
+    # Buckets that more than one class falls into.
+    keys = classes.mapInArrow(_bare_keys, "key long").groupBy("key").agg(F.count("*").alias("of")).filter("of > 1").select("key")
+    members = scratch.keep(classes.mapInArrow(_keys(BitFilter(keys, "key", mixed=True)), f"c {CLASS}, n long, key long"), "members")
+    scratch.release()
+    pivots = members.groupBy("key").agg(F.count("*").alias("of"), F.min(F.struct(F.xxhash64("c").alias("turn"), "c", "n")).alias("p")).filter("of > 1")
+    met = scratch.keep(members.join(pivots, "key").select("key", "c", "n", F.col("p.c").alias("p"), F.col("p.n").alias("n2")), "met")
+    scratch.drop(members)
+    some = met.select("c").distinct()
+    filt = BitFilter(some.select(F.col("c.id").alias("id")), "id")
+    # The pivot that a class meets most often.
+    pairs = met.filter(f"c <> p and 100 * least(n, n2) >= {percent} * greatest(n, n2)").groupBy("c", "p").agg(F.count("*").alias("times"))
+    pairs = pairs.groupBy("c").agg(F.max(F.struct("times", "p"))["p"].alias("p")).toDF("a", "b")
+    sigs = filt.rows(classes.select("c", "sig", F.col("c.id").alias("id")), "id").select("c", "sig")
+    near = pairs.join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b").mapInArrow(_estimate(percent / 100 - SLACK), f"a {CLASS}, b {CLASS}")
+    near = scratch.keep(near, "near")
+    sets = filt.rows(docs.filter("doc_id is not null"), "doc_id").mapInArrow(_sets(k), "doc_id long, d1 long, d2 long, n long, set binary")
+    sets = sets.select(F.expr("named_struct('id', doc_id, 'd1', d1, 'd2', d2)").alias("c"), "n", "set").join(some, "c", "left_semi").dropDuplicates(["c"])
+    sets = scratch.keep(sets, "sets")
+    scratch.drop(classes)
+    load = sets.select("c", "set")
+    links = near.join(load.toDF("a", "set_a"), "a").join(load.toDF("b", "set_b"), "b").mapInArrow(_confirm(percent), f"a {CLASS}, b {CLASS}")
+    stars = star_components(scratch.keep(links, "links"), scratch)
+    scratch.release()
+    more = _open_links(met, stars, sets, percent, scratch)
+    scratch.drop(met, sets)
+    if more is not None and not more.isEmpty():
+        stars = star_components(stars.unionByName(more), scratch)
+    scratch.release()
+    names = rows.filter("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"))
+    names = names.select("d1", "d2", F.struct("id", "d1", "d2").alias("c")).join(stars.toDF("c", "component"), "c", "left")
+    names = names.select("d1", "d2", F.coalesce("component", "c").alias("component"))
+    return rows.select("doc_id", "n", "d1", "d2").join(names, ["d1", "d2"], "left")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,140 +402,55 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     fewer words the whole sequence is one shingle; a null text, or one without words,
     has none and is linked with nothing.  Two documents are linked if
     100 * |intersection| >= percent * |union|.  Ids are expected to be unique; rows
-    with one id are each judged by their own text, and equal rows stay as many.  A null
-    id is never linked.  Other columns are not read.  Returns doc_id, n_shingles,
-    component_id (least id reachable, itself included), kept (doc_id = component_id).
+    with one id are each judged by their own text, and equal rows stay as many.  A row
+    with a null id links nothing; its component is that of the others with its set, or
+    null.  Long texts are read in parts; their sets (8 bytes a shingle) are held whole.
+    An empty table gives an empty result.  Other columns, whatever their names, are not
+    read.  Returns doc_id, n_shingles, component_id (least id reachable, itself
+    included), kept (doc_id = component_id, true for a null id).
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash")
-    small_batches(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = scratch.keep(docs.mapInArrow(_signatures(k), "doc_id long, n long, d1 long, d2 long, sig binary, bands array<long>"), "signatures")
-    # Classes of equal sets, named by their least id.
-    named = rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("id")).filter("id is not null")
-    named = scratch.keep(named, "names")
-    classes = rows.join(named, ["d1", "d2"]).filter("doc_id = id").dropDuplicates(["id"]).select("id", "n", "sig", "bands")
-    classes = scratch.keep(classes, "classes")
-    # Buckets that more than one class falls into.
-    spread = classes.select("id", "n", F.explode("bands").alias("key"))
-    buckets = spread.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("pivot")).filter("members > 1")
-    members = scratch.keep(spread.join(buckets, "key"), "members")
-    matcher = _Matcher(docs, classes, k, percent, scratch)
-    size = classes.select(F.col("id").alias("pivot"), F.col("n").alias("n2"))
-    first = members.filter("id <> pivot").select("id", "n", "pivot").distinct().join(size, "pivot").filter(_near_size(percent))
-    links = matcher.links(first.select(F.col("id").alias("a"), F.col("pivot").alias("b")), "links")
-    stars = star_components(links, scratch)
-    stars = _rest(members, stars, matcher, percent, scratch)
-    component = named.join(stars.select(F.col("a").alias("id"), F.col("b").alias("component")), "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component"))
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2").join(component, ["d1", "d2"], "left")
-    found = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept"))
-
-
-def _open(members: DataFrame, stars: DataFrame, scratch: Scratch) -> DataFrame:
-    """Members (with their components) of the keys under which not all are connected, by the way what a next step needs."""
-    known = members.join(stars.select(F.col("a").alias("id"), F.col("b").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
-    kinds = known.groupBy("key", "c").agg(F.count("*").alias("n_c"), F.min(F.struct("id", "n")).alias("first"))
-    keys = kinds.groupBy("key").agg(F.sum("n_c").alias("members"), F.min(F.struct("n_c", "c", "first")).alias("least"), F.max(F.struct("n_c", "c"))["c"].alias("most"), F.count("*").alias("kinds")).filter("kinds > 1")
-    return scratch.keep(known.join(keys.drop("kinds"), "key"), "open")
-
-
-def _cross(rows: DataFrame, percent: int) -> DataFrame:
-    """All pairs of unconnected members of keys with at most SMALL members."""
-    other = rows.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-    pairs = rows.select("key", "id", "n", "c").join(other, "key").filter("id < id2 and c <> c2").filter(_near_size(percent))
-    return pairs.select(F.col("id").alias("a"), F.col("id2").alias("b"))
-
-
-def _wide_keys(rows: int, bands: int):
-    """Bucket keys of wider bands of signatures."""
-    r = np.random.default_rng(rows)
-    choice = np.stack([r.choice(N_HASH, rows, replace=False) for _ in range(bands)])
-    factor = r.integers(1, 2**63, rows, dtype=np.uint64) | np.uint64(1)
-    salt = r.integers(1, 2**63, bands, dtype=np.uint64)
+    rows = _named_rows(docs, k, percent, id_col, text_col, Scratch(docs.sparkSession, "minhash"))
+    found = F.when(F.col("n") > 0, F.coalesce(F.col("component.id"), F.col("doc_id"))).otherwise(F.col("doc_id"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept"))
+
+
+def _digests(k: int, at: int):
+    """Adds d1 and d2 of column ``at`` (a text), in its place."""
 
     def run(batches):
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(-1, N_HASH)
-                keys = mix((sig[:, choice].astype(np.uint64) * factor).sum(axis=2, dtype=np.uint64) + salt)
-                take = np.repeat(np.arange(len(sig)), bands)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), part.column("id").take(pa.array(take)), part.column("n").take(pa.array(take))], names=["key", "id", "n"])
+            for i, j, data, off in pieces(b.column(at)):
+                names = np.array([digest(s) for s in shingle_sets(data, off, k)], np.int64).reshape(-1, 2)
+                part = b.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*part.columns[:at], pa.array(names[:, 0]), pa.array(names[:, 1])], names=[*b.schema.names[:at], "d1", "d2"])
 
     return run
 
 
-def _rest(members: DataFrame, stars: DataFrame, matcher: _Matcher, percent: int, scratch: Scratch) -> DataFrame:
-    """Adds the links between members of a bucket that its pivot leaves apart.
-
-    A small bucket compares all pairs that are not yet connected.  The members of
-    larger ones are dealt into new buckets by wider bands, where what is merely alike
-    thins out, and go by pivot and then the same way.  Buckets that stay large
-    compare their rarest component's least member with all others, one after another,
-    until all are compared or connected: exact, and rare.
-    """
-    left = members.filter("members > 2 and id <> pivot").select("key", "id", "n")
-    for rows, bands in DEALS:
-        state = _open(left, stars, scratch)
-        if state.isEmpty():
-            return stars
-        pairs = _cross(state.filter(F.col("members") <= SMALL), percent)
-        again = state.filter(F.col("members") > SMALL).select("id", "c").distinct()
-        spread = matcher.classes.join(again, "id", "left_semi").select("id", "n", "sig").mapInArrow(_wide_keys(rows, bands), "key long, id long, n long")
-        spread = spread.join(again, "id")
-        stats = spread.groupBy("key").agg(F.count("*").alias("of"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct("id", "n", "c")).alias("p")).filter("of > 1 and c0 <> c1")
-        fresh = scratch.keep(spread.join(stats.select("key", "of", "p"), "key").filter("id <> p.id"), "dealt")
-        to_pivot = fresh.filter("c <> p.c").withColumn("n2", F.col("p.n")).filter(_near_size(percent))
-        pairs = pairs.unionByName(to_pivot.select(F.col("id").alias("a"), F.col("p.id").alias("b")))
-        links = matcher.links(pairs, "links")
-        if not links.isEmpty():
-            stars = star_components(stars.unionByName(links), scratch)
-        scratch.drop(state)
-        scratch.release()
-        left = fresh.filter("of > 2").select("key", "id", "n")
-    return _by_pivots(left, stars, matcher, percent, scratch)
-
-
-def _by_pivots(left: DataFrame, stars: DataFrame, matcher: _Matcher, percent: int, scratch: Scratch) -> DataFrame:
-    """Compares until every key's members are all compared or connected.
-
-    A round takes some members outside the largest component of each key, compares
-    them with all members of other components, and is done with them.
-    """
-    while True:
-        state = _open(left, stars, scratch)
-        if state.isEmpty():
-            return stars
-        pairs = _cross(state.filter(F.col("members") <= SMALL), percent)
-        draw = F.pmod(F.xxhash64("id", "key", "members"), F.lit(1 << 20)) * F.col("members") < PIVOTS << 20
-        pivot = (F.col("id") == F.col("least.first.id")) | (F.col("c") != F.col("most")) & draw
-        large = state.filter(F.col("members") > SMALL).withColumn("pivot", pivot)
-        pivots = large.filter("pivot").select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-        met = large.join(pivots, "key").filter("c <> c2 and id <> id2").filter(_near_size(percent))
-        pairs = pairs.unionByName(met.select(F.col("id").alias("a"), F.col("id2").alias("b")))
-        links = matcher.links(pairs, "links")
-        if not links.isEmpty():
-            stars = star_components(stars.unionByName(links), scratch)
-        scratch.release()
-        left = large.filter("not pivot").select("key", "id", "n")
-
-
 def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each near-duplicate group, that with the least id, and all others; columns of ``docs`` stay.
 
-    Of several rows with one id one stays.  Rows with a null id, or without words, stay.
-    Only texts that may go are shuffled.
+    Of rows with one id and one set one stays; rows with one id and different texts are
+    each judged by their own text.  Rows with a null id, or without words, stay; only
+    the copies among rows with one id are reduced.  An empty table stays empty; columns
+    may have any names.  Only rows that may go are shuffled.
     """
     scratch = Scratch(docs.sparkSession, "without")
-    found = near_duplicates(docs, k, percent, id_col, text_col).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("kept").alias("kept")).filter("doc_id is not null and (n > 1 or not kept)")
-    found = scratch.keep(found, "going")
-    touched = BitFilter(found, "doc_id")
-    rows = docs.withColumn("__id", F.col(id_col).cast("long"))
-    maybe = touched.rows(rows, "__id").join(found.select(F.col("doc_id").alias("__g"), F.col("kept").alias("__kept")), F.col("__id") == F.col("__g"), "left")
-    stay = maybe.filter("__g is null").drop("__g", "__kept", "__id")
-    one = maybe.filter("__g is not null and __kept").dropDuplicates(["__id"]).drop("__g", "__kept", "__id")
-    return touched.rows(rows, "__id", inside=False).drop("__id").unionByName(stay).unionByName(one)
+    rows = _named_rows(docs, k, percent, id_col, text_col, scratch).filter("doc_id is not null")
+    stays = (F.col("n") == 0) | F.col("component").isNull() | (F.struct(F.col("doc_id").alias("id"), "d1", "d2") == F.col("component"))
+    found = rows.withColumn("stays", stays).groupBy("doc_id", "d1", "d2").agg(F.count("*").alias("times"), F.first("stays").alias("stays")).filter("times > 1 or not stays")
+    found = scratch.keep(found.select(F.col("doc_id").alias("g"), F.col("d1").alias("g1"), F.col("d2").alias("g2"), "stays"), "going")
+    touched = BitFilter(found, "g")
+    names = docs.columns
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    maybe = touched.rows(packed, "id")
+    schema = maybe.drop("text").withColumn("d1", F.lit(0).cast("long")).withColumn("d2", F.lit(0).cast("long")).schema
+    maybe = maybe.mapInArrow(_digests(k, 2), schema)
+    maybe = maybe.join(found, (F.col("id") == F.col("g")) & (F.col("d1") == F.col("g1")) & (F.col("d2") == F.col("g2")), "left")
+    stay = maybe.filter("g is null").select("row")
+    one = maybe.filter("g is not null and stays").dropDuplicates(["id", "d1", "d2"]).select("row")
+    rest = touched.rows(packed, "id", inside=False).select("row")
+    return rest.unionByName(stay).unionByName(one).select("row.*")
 
 
 def op2_minhash(spark, sf_dir: str) -> DataFrame:

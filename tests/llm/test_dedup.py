@@ -40,8 +40,8 @@ def test_near_duplicates(frame, corpus, k):
 
 
 def test_large_bucket_of_unlike_members(frame, monkeypatch):
-    """Many texts that share a passage without being near-duplicates, and a chain among them, by deals and pivots."""
-    monkeypatch.setattr(minhash, "SMALL", 3)
+    """Many texts that share a passage without being near-duplicates, and a chain among them, over several blocks."""
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 4)
     r = random.Random(1)
     word = lambda: "w%d" % r.randrange(10**6)
     common_part = [word() for _ in range(40)]
@@ -54,6 +54,56 @@ def test_large_bucket_of_unlike_members(frame, monkeypatch):
     assert got == brute_near(rows, 2)
 
 
+def test_large_near_group_and_common_word_pair(frame):
+    """Many edits of one text, most of them too far from each other, and one word pair in every text."""
+    r = random.Random(2)
+    word = lambda: "w%d" % r.randrange(10**6)
+    base = [word() for _ in range(60)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for at in r.sample(range(60), r.choice([1, 1, 2, 4, 5])):
+            w[at] = word()
+        rows.append((i, " ".join(w)))
+    rows += [(i, "the common " + " ".join(word() for _ in range(r.randint(1, 40)))) for i in range(150, 250)]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"], x["kept"]) for x in minhash.near_duplicates(frame(rows), 2).collect()}
+    assert got == brute_near(rows, 2)
+
+
+def test_null_ids_repeated_ids_clashing_names(spark):
+    """Each row is judged by its own text; a null id links nothing; other columns may have any name."""
+    text = " ".join(f"w{i}" for i in range(80))
+    near, other = text.replace("w7 ", "x "), " ".join(f"v{i}" for i in range(40))
+    rows = [(5, text), (7, near), (7, other), (9, other), (None, text), (None, near + " y"), (3, ""), (4, None), (9, other)]
+    docs = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in rows], "doc_id long, text string, c long, d1 long, component string")
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(5, 5, True), (7, 5, False), (7, 7, True), (9, 7, False), (9, 7, False), (None, 5, True), (None, None, True), (3, 3, True), (4, 4, True)], key=str)
+    left = minhash.without_near_duplicates(docs)
+    assert left.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted([(5, text), (7, other), (None, text), (None, near + " y"), (3, ""), (4, None)], key=str)
+
+
+def test_shared_counts_and_blocks():
+    """Dense and rare hashes against plain sets; a block and its packed form."""
+    r = np.random.default_rng(5)
+    for _ in range(20):
+        sides = [[np.unique(r.integers(0, r.choice([20, 400]), r.integers(0, 60)).astype(np.uint64)) for _ in range(r.integers(1, 40))] for _ in range(2)]
+        (x, xo), (y, yo) = ((np.concatenate(s), np.concatenate(([0], np.cumsum([len(z) for z in s])))) for s in sides)
+        assert (minhash.shared_counts(x, xo, y, yo) == [[len(set(a.tolist()) & set(b.tolist())) for b in sides[1]] for a in sides[0]]).all()
+    b = minhash.Block(np.arange(6).reshape(2, 3), np.arange(6, 12).reshape(2, 3), np.array([1, 2]), np.array([1, 2, 2**63], np.uint64))
+    again = minhash.Block.unpack(b.pack())
+    assert all((getattr(b, f) == getattr(again, f)).all() for f in ("c", "comp", "size", "sets"))
+
+
+def test_long_text_has_the_same_shingles(monkeypatch):
+    t = np.frombuffer((" \n".join(f"Word{i % 700}" for i in range(3000)) + " " + "z" * 900).encode(), np.uint8)
+    off = np.array([0, len(t)])
+    whole = next(common.shingle_sets(t, off, 5))
+    for part in (50, 333, 4096):
+        monkeypatch.setattr(common, "PART", part)
+        assert (next(common.shingle_sets(t, off, 5)) == whole).all()
+
+
 def test_without_near_duplicates(frame, corpus):
     docs = frame([*corpus, corpus[0]])
     kept = sorted(r["doc_id"] for r in minhash.without_near_duplicates(docs).collect())
