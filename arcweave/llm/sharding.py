@@ -8,10 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Slices of each shard; slot numbers never need one task per shard.
-SLICES = 1024
+from .common import Scratch
+
+#: Slots of a shard are numbered slice by slice, by this many hexadecimal digits of a hash, so no task needs a whole shard.
+SLICE_DIGITS = 3
 
 
 def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -31,13 +32,14 @@ def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
     return b
 
 
-def jump_shard(shards: int):
-    """A column function: the shard of a long key column (null: null)."""
+def jump_shards(shards: int):
+    """A column function: (shard, shard with one more) of a long key column."""
 
-    @F.pandas_udf(T.IntegerType())
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("shard int, grown_shard int")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            yield pd.Series(jump_hash(s.fillna(0).to_numpy(np.int64).view(np.uint64), shards)).where(s.notna().to_numpy()).astype("Int32")
+            keys = s.to_numpy(np.int64).view(np.uint64)
+            yield pd.DataFrame({"shard": jump_hash(keys, shards).astype(np.int32), "grown_shard": jump_hash(keys, shards + 1).astype(np.int32)})
 
     return run
 
@@ -46,27 +48,29 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
     """Shard, and place within its shard, of each document.
 
     The id and the number of shards decide the shard (law ``key``), so rows of one id
-    share a shard, whatever their texts; a null id counts as one key.  ``grown_shard``
+    share a shard, whatever their texts; a null id counts as the empty string.  The key
+    is the first half of the MD5 digest of the id as text.  ``grown_shard``
     is the shard if one more is appended.  ``slot`` numbers the rows of a shard from 0
-    without gaps, in the order of a hash of the id, then the id, then the text's
+    without gaps, in the order of the digest's second half, then the id, then the text's
     checksum and size; fully equal rows get different slots in any order.  Null text:
     no bytes, size 1.  An empty table gives an empty result.  Other columns are not
     read.
     """
-    key = F.coalesce(F.xxhash64(F.lit("shard"), F.col(id_col)), F.lit(0).cast("long"))
+    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"),
-        key.alias("__key"),
+        jump_shards(shards)(F.conv(F.substring(digest, 1, 16), 16, -10).cast("long")).alias("__to"),
+        F.substring(digest, 17, 16).alias("__turn"),
     )
-    rows = rows.withColumn("shard", jump_shard(shards)("__key")).withColumn("grown_shard", jump_shard(shards + 1)("__key"))
-    rows = rows.withColumn("__slice", F.expr(f"cast(shiftrightunsigned(xxhash64(__key, 'slot'), {64 - SLICES.bit_length() + 1}) as int)"))
+    # Written once: both what is numbered and the numbers before each slice are read from it.
+    rows = Scratch(docs.sparkSession, "sharding").keep(rows.select("doc_id", "size", "text_crc32", "__to.*", "__turn", F.substring("__turn", 1, SLICE_DIGITS).alias("__slice")))
     earlier = Window.partitionBy("shard").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    # At most SLICES rows a shard.
+    # At most 16**SLICE_DIGITS rows a shard.
     starts = rows.groupBy("shard", "__slice").agg(F.count("*").alias("__n")).withColumn("__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
-    within = Window.partitionBy("shard", "__slice").orderBy("__key", "doc_id", "text_crc32", "size")
+    within = Window.partitionBy("shard", "__slice").orderBy("__turn", "doc_id", "text_crc32", "size")
     out = rows.withColumn("__at", F.row_number().over(within)).join(starts.drop("__n"), ["shard", "__slice"])
     return out.select(
         "doc_id",
