@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words
+from .common import Scratch, n_words
 
 #: The seeded order of a source is cut into 16**3 slices, so running sums never need one task per source.
 SLICE_DIGITS = 3
@@ -62,11 +62,12 @@ def mix_sources(
     whole times; for the fraction, its documents are put in a seeded order and taken
     until the words are used up, the last one in part.  So each source's words come
     to its target rounded, and no document is taken more than ``ceil(max_epochs)``
-    times.  Reruns agree: the order depends on the id, the size and the seed only.
+    times.  Reruns agree: the order depends on the id, the size, the text and the seed
+    only.
 
     Null text: size 0, nothing taken.  A null source is a source of its own.  An
-    empty table gives an empty result.  Rows equal in id and size are ordered among
-    each other arbitrarily but take the same sum.  Other columns are not read, but
+    empty table gives an empty result.  Rows equal in id and text are ordered among
+    each other arbitrarily, which changes nothing in what is taken of them.  Other columns are not read, but
     those named in ``carry`` come along.  Returns doc_id, source, size, source_size,
     target, epochs, taken and the carried columns.
     """
@@ -75,8 +76,12 @@ def mix_sources(
         F.col(source_col).alias("source"),
         n_words(F.col(text_col)).alias("size"),
         F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))).alias("__turn"),
+        F.xxhash64(F.col(text_col)).alias("__tie"),
         *[F.col(c).alias(f"__carry_{k}") for k, c in enumerate(carry)],
     ).withColumn("__slice", F.substring("__turn", 1, SLICE_DIGITS))
+    if not carry:
+        # Without texts rows are narrow: written once, so that words are counted once.
+        rows = Scratch(docs.sparkSession, "mixing").keep(rows)
     slices = rows.groupBy("source", "__slice").agg(F.sum("size").alias("__words"))
     targets = source_targets(slices.groupBy("source").agg(F.sum("__words").alias("source_size")), weights, share, max_epochs)
     earlier = Window.partitionBy("source").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -84,7 +89,7 @@ def mix_sources(
     starts = slices.withColumn("__before", F.coalesce(F.sum("__words").over(earlier), F.lit(0)))
     plan = starts.join(targets.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")))
     plan = plan.select(F.col("source").alias("__s"), F.col("__slice").alias("__l"), "__before", "source_size", "target")
-    within = Window.partitionBy("source", "__slice").orderBy("__turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "__slice").orderBy("__turn", "doc_id", "size", "__tie").rowsBetween(Window.unboundedPreceding, -1)
     out = rows.withColumn("__ahead", F.coalesce(F.sum("size").over(within), F.lit(0)))
     out = out.join(plan, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__slice") == F.col("__l")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
