@@ -201,7 +201,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
 PART = 1 << 20
 
 
-def _cuts(data: np.ndarray, most: int) -> Iterator[np.ndarray]:
+def cuts(data: np.ndarray, most: int) -> Iterator[np.ndarray]:
     """Parts of one text, each cut behind a white-space byte where there is one."""
     i = 0
     while len(data) - i > most:
@@ -227,7 +227,7 @@ def _windows(h: np.ndarray, k: int) -> np.ndarray:
 def _long_set(data: np.ndarray, k: int) -> np.ndarray:
     """The shingle set of one long text, part by part: beside the set itself it takes the memory of a part."""
     found, held, more = [], 0, np.zeros(0, np.uint64)
-    for part in _cuts(data, PART):
+    for part in cuts(data, PART):
         starts, ends, _ = word_spans(part, np.array([0, len(part)]))
         more = np.concatenate((more, word_hashes(part, starts, ends, lower=True)))
         if len(more) >= k:

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 #: Most labelled documents that a classifier is fitted on.
 TRAIN_DOCS = 4000
-#: Most bytes of a training text; longer ones give a piece from a hashed place.  (Scores always read whole texts.)
-TRAIN_BYTES = 20_000
 
 
 def fold(id_col: str, parts: int) -> F.Column:
@@ -17,7 +15,7 @@ def fold(id_col: str, parts: int) -> F.Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, use: F.Column, extra: list[str] = [], n: int = TRAIN_DOCS) -> list[tuple]:
-    """At most ``n`` (text bytes, label, extra columns...) of labelled rows where ``use`` holds.
+    """At most ``n`` (bytes of the whole text, label, extra columns...) of labelled rows where ``use`` holds.
 
     The rows are those with the least hashes of their ids, so reruns agree; null
     labels, null ids and null texts are left out.  Labels are reduced to ``n`` rows
@@ -27,8 +25,5 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, use: F.Colum
     rows = rows.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     texts = docs.filter("text is not null").select("doc_id", F.col("text"), *extra)
     found = texts.join(F.broadcast(rows), "doc_id").select("doc_id", "y", "text", *extra)
-    # A long text gives one piece, from a place that depends on its id.
-    span = F.greatest(F.char_length("text") - F.lit(TRAIN_BYTES), F.lit(0))
-    found = found.withColumn("text", F.substring("text", F.pmod(F.xxhash64("doc_id"), span.cast("long") + 1).cast("int") + 1, F.lit(TRAIN_BYTES)))
     out = found.orderBy(F.xxhash64("doc_id"), "text").limit(n).collect()
     return [(r["text"].encode(), r["y"], *(r[c] for c in extra)) for r in out]

@@ -13,15 +13,14 @@ from .common import pieces, small_batches
 from .labelled import TRAIN_DOCS, fold, training_sample
 
 #: Bytes of a step; a filter sees two steps, every step begins one place.
-STEP = 4
+STEP = 8
 #: Values a byte is embedded in, and number of filters.
 DIM, FILTERS = 8, 24
 #: Bytes of a block; a chunk is two consecutive blocks, so chunks overlap by half.
 BLOCK = 256
 PLACES = BLOCK // STEP
-#: One more channel beside the filters: the best share of a block's bytes that equal the byte ``lag`` places before.
-LAGS = range(2, 49)
-CHANNELS = FILTERS + 1
+#: Blocks whose responses are held at once.
+SPAN = 1024
 
 
 @dataclass
@@ -40,7 +39,7 @@ class ByteNet:
         n = lambda *s: r.standard_normal(s).astype(np.float32)
         embed = n(256, DIM)
         embed[0] = 0
-        return cls(embed, n(2 * STEP * DIM, FILTERS) / 8, np.zeros(FILTERS, np.float32), n(2 * CHANNELS) / 10, np.zeros(1, np.float32))
+        return cls(embed, n(2 * STEP * DIM, FILTERS) / 8, np.zeros(FILTERS, np.float32), n(2 * FILTERS) / 10, np.zeros(1, np.float32))
 
     def parts(self) -> list[np.ndarray]:
         return [self.embed, self.filters, self.bias, self.out, self.out_bias]
@@ -57,38 +56,35 @@ def layout(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return flat, first
 
 
-def self_match(flat: np.ndarray) -> np.ndarray:
-    """For each block the largest share of bytes that equal the byte some lag before."""
-    n = len(flat) // BLOCK * BLOCK
-    best = np.zeros(n // BLOCK, np.uint64)
-    low = np.uint64(0x00FF00FF00FF00FF)
-    x = flat[:n]
-    # Zeros are padding: they match nothing.
-    y = np.where(x == 0, np.uint8(255), x)
-    equal = np.zeros(n, np.uint8)
-    for lag in LAGS:
-        np.equal(x[lag:], y[:-lag], out=equal[lag:].view(bool))
-        lanes = equal.view(np.uint64).reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.uint64)
-        lanes = (lanes & low) + ((lanes >> np.uint64(8)) & low)
-        np.maximum(best, (lanes * np.uint64(0x0001000100010001)) >> np.uint64(48), out=best)
-    return (best / BLOCK).astype(np.float32)
-
-
-def block_maxima(net: ByteNet, flat: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Largest response of each filter in each block, at least 0, and the self-match."""
-    x = net.embed[flat].reshape(-1, STEP * DIM)
-    half = STEP * DIM
-    act = x[:-1] @ net.filters[:half]
-    act += x[1:] @ net.filters[half:]
-    act += net.bias
+def block_maxima(net: ByteNet, flat: np.ndarray, first: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """(largest response of each filter in each block, at least 0; if asked for, its place in the block).
+
+    ``SPAN`` blocks are embedded at a time, so memory doesn't grow with the text.
+    """
+    n, half = int(first[-1]), STEP * DIM
+    top = np.empty((n, FILTERS), np.float32)
+    where = np.empty((n, FILTERS), np.int16) if places else None
     # The last place of a text would look into the next one.
-    act[first[1:] * PLACES - 1] = 0
-    top = np.maximum(act.reshape(-1, PLACES, FILTERS).max(axis=1), 0)
-    return np.concatenate((top, 4 * self_match(flat)[:, None]), axis=1)
+    ends = np.unique(first[1:]) * PLACES - 1
+    for lo in range(0, n, SPAN):
+        hi = min(n, lo + SPAN)
+        x = net.embed[flat[lo * BLOCK : hi * BLOCK + STEP]].reshape(-1, half)
+        act = x[:-1] @ net.filters[:half]
+        act += x[1:] @ net.filters[half:]
+        act += net.bias
+        act[ends[np.searchsorted(ends, lo * PLACES) : np.searchsorted(ends, hi * PLACES)] - lo * PLACES] = 0
+        act = act.reshape(-1, PLACES, FILTERS)
+        top[lo:hi] = act.max(axis=1)
+        if places:
+            where[lo:hi] = act.argmax(axis=1)
+    return np.maximum(top, 0, out=top), where
 
 
 def pooled(top: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features of each text, chunk maxima, first chunk of each text): chunks are two blocks, or one where a text has one."""
+    """(features of each text, chunk maxima, first chunk of each text): chunks are two blocks, or one where a text has one.
+
+    A text's features are the largest of its chunk maxima and their mean.
+    """
     n = np.diff(first)
     chunks = np.maximum(n - 1, 1)
     at = np.concatenate(([0], np.cumsum(chunks)))
@@ -105,7 +101,7 @@ def scores(net: ByteNet, data: np.ndarray, off: np.ndarray) -> np.ndarray:
     if len(off) < 2:
         return np.zeros(0)
     flat, first = layout(data, off)
-    z = pooled(block_maxima(net, flat, first), first)[0] @ net.out + net.out_bias
+    z = pooled(block_maxima(net, flat, first)[0], first)[0] @ net.out + net.out_bias
     return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
 
@@ -114,14 +110,7 @@ def _step(net: ByteNet, texts: list[bytes], y: np.ndarray) -> list[np.ndarray]:
     data = np.frombuffer(b"".join(texts), np.uint8)
     off = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
     flat, first = layout(data, off)
-    half = STEP * DIM
-    x = net.embed[flat].reshape(-1, half)
-    act = x[:-1] @ net.filters[:half] + x[1:] @ net.filters[half:] + net.bias
-    act[first[1:] * PLACES - 1] = 0
-    by_block = act.reshape(-1, PLACES, FILTERS)
-    where = by_block.argmax(axis=1)
-    top = np.maximum(np.take_along_axis(by_block, where[:, None], 1)[:, 0], 0)
-    top = np.concatenate((top, 4 * self_match(flat)[:, None]), axis=1)
+    top, where = block_maxima(net, flat, first, places=True)
     feats, chunk, at = pooled(top, first)
     p = 1 / (1 + np.exp(-np.clip(feats @ net.out + net.out_bias, -30, 30)))
     g = ((p - y) / len(y)).astype(np.float32)
@@ -129,18 +118,17 @@ def _step(net: ByteNet, texts: list[bytes], y: np.ndarray) -> list[np.ndarray]:
     d_feats = g[:, None] * net.out
     # To chunks: the best chunk of each text, and all of them for the mean.
     chunks = np.diff(at)
-    d_chunk = np.repeat(d_feats[:, CHANNELS:] / chunks[:, None], chunks, axis=0)
+    d_chunk = np.repeat(d_feats[:, FILTERS:] / chunks[:, None], chunks, axis=0)
     for i in range(len(texts)):
         best = chunk[at[i] : at[i + 1]].argmax(axis=0)
-        d_chunk[at[i] + best, np.arange(CHANNELS)] += d_feats[i, :CHANNELS]
+        d_chunk[at[i] + best, np.arange(FILTERS)] += d_feats[i, :FILTERS]
     # To the block that gave a chunk's maximum, and to the place there.
     left = np.repeat(first[:-1] - at[:-1], chunks) + np.arange(at[-1])
     right = np.minimum(left + 1, np.repeat(first[1:] - 1, chunks))
     source = np.where(top[left] >= top[right], left[:, None], right[:, None])
     d_top = np.zeros_like(top)
-    np.add.at(d_top, (source, np.arange(CHANNELS)), d_chunk)
+    np.add.at(d_top, (source, np.arange(FILTERS)), d_chunk)
     d_top[top <= 0] = 0
-    d_top = d_top[:, :FILTERS]
     block, filt = np.nonzero(d_top)
     grad = d_top[block, filt]
     place = block * PLACES + where[block, filt]
@@ -157,7 +145,7 @@ def _step(net: ByteNet, texts: list[bytes], y: np.ndarray) -> list[np.ndarray]:
     return [d_embed, d_filters, d_bias, d_out, d_out_bias]
 
 
-def train(texts: list[bytes], labels: list[int], epochs: int = 5, batch: int = 32, rate: float = 0.01, seed: int = 3) -> ByteNet:
+def train(texts: list[bytes], labels: list[int], epochs: int = 10, batch: int = 32, rate: float = 0.01, seed: int = 3) -> ByteNet:
     """Fits the network by Adam with a falling rate; the same texts give the same network.
 
     Without texts of both labels the network gives the share of label 1 (0.5 without any).
@@ -187,7 +175,10 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 5, batch: int = 3
 def score_documents(docs: DataFrame, net: ByteNet, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """Adds ``score_col``, the probability of label 1 of every whole text; columns of ``docs`` stay.
 
-    Null and empty texts get the score of no bytes.  Only the text is read for it.
+    Null and empty texts get the score of no bytes; equal texts get equal scores.  A
+    long text's bytes are held whole, its responses in bounded pieces.  Only the text
+    is read for the score; ids may repeat or be null, and other columns may have any
+    names.  An empty table gives an empty result.
     """
     names = [c for c in docs.columns if c != score_col]
     small_batches(docs.sparkSession)

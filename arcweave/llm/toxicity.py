@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTES, _TABLE_LOWER, Scratch, pieces, prefix_sums, range_hash, small_batches
+from .common import _BYTES, _TABLE_LOWER, PART, Scratch, cuts, pieces, prefix_sums, range_hash, small_batches
 from .labelled import fold, training_sample
 
 #: A word is looked up whole and by its first bytes, each in a hashed table of its own.
@@ -18,6 +18,8 @@ TABLE_BITS, TABLES, DIM = 17, 1 + len(PREFIXES), 6
 #: Filters of each width (words).
 WIDTHS, FILTERS = (1, 2, 3), 12
 TRAIN_DOCS = 6000
+#: Words whose responses are held at once in training.
+SPAN = 1 << 15
 #: Words and beginnings in fewer training texts than this are unknown, as are all that never occur there.
 LEAST_DOCS = 5
 #: Row of what is unknown, always zero.
@@ -77,11 +79,10 @@ class WordNet:
         return cls(n(UNKNOWN + 1, DIM) * 0.1, np.zeros(UNKNOWN + 1, np.uint8), [n(w, TABLES * DIM, FILTERS) * 0.3 for w in WIDTHS], np.zeros((len(WIDTHS), FILTERS), np.float32), n(len(WIDTHS) * FILTERS) * 0.3, np.zeros(1, np.float32))
 
 
-def responses(net: WordNet, rows: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(largest response of each filter over each text, at least 0; the word where it begins, -1 for none)."""
+def responses(net: WordNet, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Largest response of each filter over each text, at least 0."""
     n_text = len(first) - 1
     top = np.zeros((n_text, len(WIDTHS) * FILTERS), np.float32)
-    where = np.full(top.shape, -1, np.int64)
     x = net.embed[rows].reshape(len(rows), -1)
     size = np.diff(first)
     for k, w in enumerate(WIDTHS):
@@ -104,32 +105,85 @@ def responses(net: WordNet, rows: np.ndarray, first: np.ndarray) -> tuple[np.nda
         # reduceat runs on to the next listed text: those between are shorter than w and count as 0.
         cols = slice(k * FILTERS, (k + 1) * FILTERS)
         top[fits, cols] = np.maximum(best, 0)
-        where[fits, cols] = k
-    return top, where
+    return top
+
+
+def located(net: WordNet, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(largest response of each filter over one text, at least 0; the word where its window begins, -1 for none)."""
+    top = np.zeros((len(WIDTHS), FILTERS), np.float32)
+    place = np.full(top.shape, -1, np.int64)
+    for lo in range(0, len(words), SPAN):
+        part = words[lo : lo + SPAN + max(WIDTHS) - 1]
+        x = net.embed[part].reshape(len(part), -1)
+        for k, w in enumerate(WIDTHS):
+            m = min(SPAN, len(part) - w + 1)
+            if m <= 0:
+                continue
+            act = sum(x[j : m + j] @ net.filters[k][j] for j in range(w)) + net.bias[k]
+            at = act.argmax(axis=0)
+            best = act[at, np.arange(FILTERS)]
+            better = best > top[k]
+            top[k][better], place[k][better] = best[better], lo + at[better]
+    return top.ravel(), place
 
 
-def _places(net: WordNet, x: np.ndarray, first: np.ndarray, k: int, top: np.ndarray) -> np.ndarray:
-    """The window of each text that gives each filter's maximum (training only)."""
-    w, f = WIDTHS[k], net.filters[k]
-    out = np.full((len(first) - 1, FILTERS), -1, np.int64)
-    for i in range(len(first) - 1):
-        a, z = first[i], first[i + 1] - w + 1
-        if z > a:
-            act = sum(x[a + j : z + j] @ f[j] for j in range(w))
-            out[i] = a + act.argmax(axis=0)
-    return out
+def _long_top(net: WordNet, data: np.ndarray) -> np.ndarray:
+    """Largest responses over one long text, read part by part; the last words of a part go before the next one."""
+    top, tail = np.zeros((1, len(WIDTHS) * FILTERS), np.float32), np.zeros((0, TABLES), np.int64)
+    for part in cuts(data, PART):
+        rows = np.concatenate((tail, table_rows(tokens(part, np.array([0, len(part)]))[0], net.live)))
+        if len(rows):
+            top = np.maximum(top, responses(net, rows, np.array([0, len(rows)])))
+        tail = rows[max(0, len(rows) - max(WIDTHS) + 1) :]
+    return top
 
 
 def scores(net: WordNet, data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Probability of label 1 of each text."""
+    if len(off) == 2 and len(data) > PART:
+        return _chance(_long_top(net, data) @ net.out + net.out_bias)
     h, first = tokens(data, off)
     if not len(h):
         z = np.repeat(net.out_bias, len(off) - 1)
     else:
-        z = responses(net, table_rows(h, net.live), first)[0] @ net.out + net.out_bias
+        z = responses(net, table_rows(h, net.live), first) @ net.out + net.out_bias
+    return _chance(z)
+
+
+def _chance(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
 
+def gradients(net: WordNet, rows: list[np.ndarray], y: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Gradients of the mean log loss over texts given as table rows.
+
+    Returns those of the filters, biases, output weights and output bias; the rows of
+    the embedding that take part; and their gradients.
+    """
+    parts = [located(net, r) for r in rows]
+    top, place = np.stack([t for t, _ in parts]), np.stack([p for _, p in parts])
+    g = ((_chance(top @ net.out + net.out_bias) - y) / len(rows)).astype(np.float32)
+    d_filters, d_bias = [np.zeros_like(f) for f in net.filters], np.zeros_like(net.bias)
+    d_top = g[:, None] * net.out
+    d_top[top <= 0] = 0
+    touched, d_words = [np.zeros((0, TABLES), np.int64)], [np.zeros((0, TABLES, DIM), np.float32)]
+    for k, w in enumerate(WIDTHS):
+        d = d_top[:, k * FILTERS : (k + 1) * FILTERS]
+        text, filt = np.nonzero((d != 0) & (place[:, k] >= 0))
+        window, grad = place[text, k, filt], d[text, filt]
+        np.add.at(d_bias[k], filt, grad)
+        for j in range(w if len(text) else 0):
+            words = np.stack([rows[t][at] for t, at in zip(text, window + j)])
+            np.add.at(d_filters[k].transpose(0, 2, 1)[j], filt, grad[:, None] * net.embed[words].reshape(len(words), -1))
+            touched.append(words)
+            d_words.append((grad[:, None] * net.filters[k][j].T[filt]).reshape(-1, TABLES, DIM))
+    ids, at = np.unique(np.concatenate(touched).ravel(), return_inverse=True)
+    d_embed = np.zeros((len(ids), DIM), np.float32)
+    np.add.at(d_embed, at.ravel(), np.concatenate(d_words).reshape(-1, DIM))
+    d_embed[ids == UNKNOWN] = 0
+    return [*d_filters, d_bias, top.T @ g, g.sum(keepdims=True)], ids, d_embed
+
+
 def train(texts: list[bytes], labels: list[int], held: tuple[list[bytes], list[int]] = ([], []), epochs: int = 12, batch: int = 32, rate: float = 0.03, seed: int = 5) -> WordNet:
     """Fits the network by Adagrad; the same texts give the same network.
 
@@ -142,13 +196,17 @@ def train(texts: list[bytes], labels: list[int], held: tuple[list[bytes], list[i
     if len(set(labels)) < 2:
         net.out[:] = 0
         return net
-    data = [tokens(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in texts]
+    seen: list[list[np.ndarray]] = [[] for _ in range(TABLES)]
+    for text in texts:
+        for t, h in enumerate(_tokens_of(text).T):
+            seen[t].append(np.unique(h))
     for t in range(TABLES):
-        seen, times = np.unique(np.concatenate([np.unique(h[:, t]) for h, _ in data]), return_counts=True)
-        seen = seen[(times >= LEAST_DOCS) & (seen > 0)]
-        net.live[(seen & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64) + (t << TABLE_BITS)] = _mark(seen)
+        found, times = np.unique(np.concatenate(seen[t]), return_counts=True)
+        found = found[(times >= LEAST_DOCS) & (found > 0)]
+        net.live[(found & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64) + (t << TABLE_BITS)] = _mark(found)
+    del seen
     net.embed[net.live == 0] = 0
-    rows = [table_rows(h, net.live) for h, _ in data]
+    rows = [table_rows(_tokens_of(t), net.live).astype(np.int32) for t in texts]
     y = np.array(labels, np.float32)
     r = np.random.default_rng(seed)
     g_embed = np.full(len(net.embed), 1e-8, np.float32)
@@ -159,41 +217,12 @@ def train(texts: list[bytes], labels: list[int], held: tuple[list[bytes], list[i
         order = r.permutation(len(texts))
         for at in range(0, len(order), batch):
             part = order[at : at + batch]
-            first = np.concatenate(([0], np.cumsum([len(rows[i]) for i in part])))
-            if not first[-1]:
-                continue
-            words = np.concatenate([rows[i] for i in part])
-            x = net.embed[words].reshape(len(words), -1)
-            top, _ = responses(net, words, first)
-            p = 1 / (1 + np.exp(-np.clip(top @ net.out + net.out_bias, -30, 30)))
-            g = ((p - y[part]) / len(part)).astype(np.float32)
-            grads = [np.zeros_like(q) for q in others]
-            grads[-2], grads[-1] = top.T @ g, g.sum(keepdims=True)
-            d_top = g[:, None] * net.out
-            d_top[top <= 0] = 0
-            touched, d_words = [], []
-            for k, w in enumerate(WIDTHS):
-                d = d_top[:, k * FILTERS : (k + 1) * FILTERS]
-                place = _places(net, x, first, k, top)
-                text, filt = np.nonzero((d != 0) & (place >= 0))
-                if not len(text):
-                    continue
-                window, grad = place[text, filt], d[text, filt]
-                np.add.at(grads[len(WIDTHS)][k], filt, grad)
-                for j in range(w):
-                    np.add.at(grads[k][j].T, filt, grad[:, None] * x[window + j])
-                    touched.append(words[window + j])
-                    d_words.append((grad[:, None] * net.filters[k][j].T[filt]).reshape(-1, TABLES, DIM))
-            for q, d, s in zip(others, grads, grown):
-                s += d * d
-                q -= rate * d / np.sqrt(s)
-            if touched:
-                ids, at_id = np.unique(np.concatenate(touched).ravel(), return_inverse=True)
-                d = np.zeros((len(ids), DIM), np.float32)
-                np.add.at(d, at_id, np.concatenate(d_words).reshape(-1, DIM))
-                d[ids == UNKNOWN] = 0
-                g_embed[ids] += (d * d).sum(axis=1)
-                net.embed[ids] -= rate * d / np.sqrt(g_embed[ids])[:, None]
+            grads, ids, d = gradients(net, [rows[i] for i in part], y[part])
+            for q, g, s in zip(others, grads, grown):
+                s += g * g
+                q -= rate * g / np.sqrt(s)
+            g_embed[ids] += (d * d).sum(axis=1)
+            net.embed[ids] -= rate * d / np.sqrt(g_embed[ids])[:, None]
         loss = _loss(net, *held)
         if loss is not None and loss < best:
             best, kept = loss, ([p.copy() for p in others], net.embed.copy())
@@ -212,13 +241,14 @@ def _loss(net: WordNet, texts: list[bytes], labels: list[int]) -> float | None:
     return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
 
 
+def _tokens_of(text: bytes) -> np.ndarray:
+    """Hashes of the words of one text, laid out part by part."""
+    return np.concatenate([tokens(part, np.array([0, len(part)]))[0] for part in cuts(np.frombuffer(text, np.uint8), PART)])
+
+
 def score_texts(net: WordNet, texts: list[bytes]) -> np.ndarray:
     """Scores of a list of texts."""
-    out = []
-    for i in range(0, len(texts), 64):
-        part = texts[i : i + 64]
-        out.append(scores(net, np.frombuffer(b"".join(part), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in part])))))
-    return np.concatenate(out) if out else np.zeros(0)
+    return np.concatenate([scores(net, data, off) for _, _, data, off in pieces(pa.array(texts, pa.large_binary()), 1 << 18)] or [np.zeros(0)])
 
 
 #: Bins of the score's logit, from -30 to 30, that thresholds are chosen from.
@@ -294,7 +324,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, use: F.Column | None = None
 def score_toxicity(docs: DataFrame, net: WordNet, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """Adds ``score_col``, the probability of label 1 of every whole text; columns of ``docs`` stay.
 
-    Null and empty texts get the score of no words.  Only the text is read for it.
+    Null and empty texts get the score of no words; equal texts get equal scores.  A
+    long text is read in parts.  Only the text is read for the score; ids may repeat or
+    be null, and other columns may have any names.  An empty table gives an empty result.
     """
     names = [c for c in docs.columns if c != score_col]
     small_batches(docs.sparkSession)
