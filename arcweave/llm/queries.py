@@ -94,3 +94,24 @@ SELECT d.doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIG
        CASE WHEN k.doc_id IS NULL THEN sha256(b) ELSE sha256(unhex(kept)) END AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id)
 """
+
+# The CRC goes byte by byte through its table; a key's jumps are replayed with whole numbers modulo 2**64.
+ORACLE_SQL["op10_jump_sharding"] = """
+WITH RECURSIVE t AS MATERIALIZED (
+  SELECT list(r ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(8), lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, i) AS r FROM (SELECT unnest(range(256)) AS i))),
+d AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, doc_id, encode(coalesce(text, '')) AS b, md5(coalesce(doc_id::VARCHAR, '')) AS m FROM documents),
+c AS (
+  SELECT row, xor(list_reduce(list_transform(range(1, octet_length(b) + 1), lambda i: ('0x' || hex(b[i : i]))::BIGINT),
+                              lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295)::BIGINT AS text_crc32 FROM d, t),
+jump AS (
+  SELECT row, n, ('0x' || substr(m, 1, 16))::UBIGINT::HUGEINT AS key, -1::BIGINT AS b, 0::BIGINT AS j FROM d, (VALUES (16), (17)) s(n)
+  UNION ALL
+  SELECT row, n, k, j, floor((j + 1) * (2147483648.0::DOUBLE / ((k // 8589934592)::DOUBLE + 1.0)))::BIGINT
+  FROM (SELECT row, n, j, (key * 2862933555777941757 + 1) % 18446744073709551616 AS k FROM jump WHERE j < n)),
+s AS (SELECT row, max(b) FILTER (n = 16)::INT AS shard, max(b) FILTER (n = 17)::INT AS grown_shard FROM jump GROUP BY row)
+SELECT doc_id, octet_length(b)::BIGINT + 1 AS size, text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY substr(m, 17), doc_id, text_crc32, octet_length(b)) - 1 AS slot, grown_shard
+FROM d JOIN c USING (row) JOIN s USING (row)
+"""
