@@ -24,33 +24,59 @@ PASSAGE = 35
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality network, fitted on the labelled ones, does not reject."""
+    """Documents that the quality network, fitted on the labelled ones, does not reject.
+
+    Each row is judged by its text alone: null and empty texts as no bytes, equal texts
+    alike, rows with one id or a null id each for itself.  With labels of one kind, or
+    none that match, every score is the share of label 1, smoothed by one of each kind,
+    so without any nothing goes.  An empty table stays empty.
+    """
     net = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_documents(docs, net, score_col="__score").filter(F.col("__score") >= LEAST_SCORE).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, similarity 0.8)."""
+    """One document of each group of near-duplicates (five words, similarity 0.8), that with the least id.
+
+    Equal rows become one; rows of one id with different texts are judged by their own.
+    Rows without words, or with a null id, stay.  An empty table stays empty.
+    """
     return without_near_duplicates(docs, k=5, percent=80)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that occur elsewhere; those of which nothing is left go."""
-    cut = substring_dedup(docs, k=PASSAGE, carry_text=False).filter("n_removed = 0 or n_removed < n_words")
-    cut = cut.withColumnRenamed("kept_text", "text")
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return cut.select(*docs.columns)
+    """Documents without the passages that occur elsewhere; those of which nothing is left go.
+
+    All copies of a passage are cut, also within a document and from equal rows;
+    ``n_chars`` follows the text.  Rows without words stay (a null text as an empty one).  Ids may repeat
+    or be null.  An empty table stays empty.
+    """
+    # Under names of their own, so that no column of the table meets one that the operator adds.
+    at = {c: f"col{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.toDF(*at.values())
+    cut = substring_dedup(rows, k=PASSAGE, id_col=at["doc_id"], text_col=at["text"], carry_text=False).filter("n_removed = 0 or n_removed < n_words")
+    cut = cut.withColumnRenamed("kept_text", at["text"])
+    if "n_chars" in at:
+        n = F.col(at["n_chars"])
+        cut = cut.withColumn(at["n_chars"], F.when(F.col("n_removed") > 0, F.char_length(at["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(n))
+    return cut.select(*at.values()).toDF(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix by target weights: one row a repetition, documents taken in part cut."""
+    """The mix by target weights: one row a repetition, documents taken in part cut.
+
+    A null source is a source of its own.  Rows without words are in no mix; ties in the
+    seeded order go by id, size and text.  An empty table stays empty.
+    """
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all documents in bins of a fixed number of words."""
+    """Places of all documents in bins of a fixed number of words.
+
+    Every row is packed, repetitions each for itself (as copies, in different bins);
+    null ids are kept.  An empty table gives an empty result.
+    """
     return pack_documents(docs)
 
 
