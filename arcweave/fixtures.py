@@ -19,6 +19,12 @@ SELECT DISTINCT least(u, v) AS src, greatest(u, v) AS dst, weight FROM (
     JOIN (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM {lineitem}) b ON a.o = b.o AND a.s <> b.s
     GROUP BY a.s, b.s) p) q
 WHERE k <= 5"""
+#: The same without the cut: all pairs of suppliers that occur in one order.
+SUPPLIER_ALL = """
+SELECT a.s AS src, b.s AS dst, CAST(count(*) AS DOUBLE) AS weight
+FROM (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM {lineitem}) a
+JOIN (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM {lineitem}) b ON a.o = b.o AND a.s < b.s
+GROUP BY a.s, b.s"""
 SUPPLIERS = "SELECT s_suppkey AS id, CAST(s_nationkey AS BIGINT) AS attr FROM {supplier}"
 
 #: Supplier nation to customer nation, weighed by number of lines: every pair that occurs.
@@ -44,6 +50,7 @@ PARTS = "SELECT DISTINCT id, id AS attr FROM (SELECT 2 * l_partkey AS id FROM {l
 
 GRAPHS = {
     "supplier_co": (SUPPLIERS, SUPPLIER_CO, False),
+    "supplier_all": (SUPPLIERS, SUPPLIER_ALL, False),
     "nation_trade": (NATIONS, NATION_TRADE, True),
     "geo_tree": (GEO, GEO_TREE, True),
     "part_supplier": (PARTS, PART_SUPPLIER, False),

@@ -374,8 +374,8 @@ class Graph:
         return self.with_parts(edges=self.edges.withColumn("weight", c))
 
     def convert(self, kind: str) -> Graph:
-        """Weights cast to another type."""
-        return self.map_edge_weights(F.col("weight").cast(kind))
+        """Weights cast to another type, ids packed anew as 0 to n - 1."""
+        return self.map_edge_weights(F.col("weight").cast(kind)).relabel()
 
     def to_nodemap(self, value: Expr) -> DataFrame:
         return self.vertices.select("id", column(value).alias("value"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -41,9 +41,19 @@ def _require(graph: Graph) -> None:
         raise InvalidGraph("the graph has no vertices")
 
 
+def _require_lengths(graph: Graph) -> None:
+    bad = graph.edges.filter("weight is not null and (isnan(weight) or weight < 0 or cast(weight as string) = '-0.0')")
+    if not bad.isEmpty():
+        raise InvalidArgument("distances need weights that are not negative nor NaN")
+
+
 def closeness_centrality(graph: Graph, plan: str = "auto") -> DataFrame:
-    """(id, closeness): r / S * r / (n - 1) over the r vertices at finite positive distance along out-arcs, S their sum of distances."""
+    """(id, closeness): r / S * r / (n - 1) over the r vertices at finite positive distance along out-arcs, S their sum of distances.
+
+    A negative or NaN weight raises InvalidArgument.
+    """
     _require(graph)
+    _require_lengths(graph)
     d = distances(graph, plan=plan).filter("dist > 0").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("r"), F.sum("dist").alias("s"))
     n = graph.vertices.agg(F.count("*").alias("n"))
     value = F.when((F.col("s") > 0) & (F.col("n") > 1), F.col("r") / F.when(F.col("s") > 0, F.col("s")) * F.col("r") / F.when(F.col("n") > 1, F.col("n") - 1))
@@ -51,7 +61,11 @@ def closeness_centrality(graph: Graph, plan: str = "auto") -> DataFrame:
 
 
 def harmonic_centrality(graph: Graph, plan: str = "auto") -> DataFrame:
-    """(id, harmonic): sum of 1 / distance to the others; infinite across a zero-weight way."""
+    """(id, harmonic): sum of 1 / distance to the others; infinite across a zero-weight way.
+
+    A negative or NaN weight raises InvalidArgument.
+    """
+    _require_lengths(graph)
     d = distances(graph, plan=plan).filter("src <> id")
     inv = F.when(F.col("dist") == 0, F.lit(float("inf"))).otherwise(1.0 / F.when(F.col("dist") != 0, F.col("dist")))
     s = d.groupBy(F.col("src").alias("id")).agg(F.sum(inv).alias("harmonic"))
@@ -266,6 +280,19 @@ def pagerank_unweighted(graph: Graph, damping: float = 0.85, max_iter: int = 100
     return _pagerank(graph, damping, max_iter, tol, nstart, None, False, "linf", plan, "even")
 
 
+def personalized_pagerank_vec(graph: Graph, personalization: Sequence[float] | None = None, damping: float = 0.85, tol: float = 1e-6, max_iter: int = 100) -> list[float]:
+    """As :func:`personalized_pagerank`, values in and out as lists by ascending id; for graphs that one task takes."""
+    if not fits(graph, LIMIT):
+        raise AlgorithmError(f"the graph has more than {LIMIT} vertices and edges, too many for a list")
+    p = None
+    if personalization is not None:
+        ids = [r["id"] for r in graph.vertices.select("id").orderBy("id").collect()]
+        if len(ids) != len(personalization):
+            raise InvalidArgument("one value a vertex is needed")
+        p = graph.spark.createDataFrame([(i, float(x)) for i, x in zip(ids, personalization)], "id long, value double")
+    return [r["pagerank"] for r in personalized_pagerank(graph, p, damping, tol, max_iter).orderBy("id").collect()]
+
+
 def katz_centrality(graph: Graph, alpha: float = 0.1, beta: Expr | None = None, max_iter: int = 1000, tol: float = 1e-6, plan: str = "auto") -> DataFrame:
     """(id, katz): x = alpha A x + beta from 0, summed over out-neighbours, not normalised; raises unless it settles (L2)."""
     b = F.lit(1.0) if beta is None else column(beta).cast("double")
@@ -339,11 +366,13 @@ def eigenvector_centrality(graph: Graph, max_iter: int = 1000, tol: float = 1e-6
         return even
     steps = Steps(graph.spark)
     arcs = steps.write(graph.arcs("flow").select(F.col("src").alias("from"), F.col("dst").alias("to"), F.col("weight").cast("double").alias("w")).repartition("from"))
-    x = steps.write(graph.vertices.select("id", F.lit(n**-0.5).alias("x")))
+    x = before = steps.write(graph.vertices.select("id", F.lit(n**-0.5).alias("x")))
     for k in range(max_iter):
         s = arcs.join(x.select(F.col("id").alias("from"), "x"), "from").groupBy(F.col("to").alias("id")).agg(F.sum(F.col("w") * F.col("x")).alias("s"))
         y = F.coalesce("s", F.lit(0.0)) + (F.lit(0.0) if directed else F.col("x"))
         new = steps.write(x.join(s, "id", "left").select("id", y.alias("y"), F.col("x").alias("old")))
+        steps.drop(before)
+        before = new
         size = new.agg(F.sqrt(F.sum(F.col("y") * F.col("y")))).first()[0]
         if size < 1e-10:
             return even
@@ -370,28 +399,31 @@ def global_reaching_centrality(graph: Graph, plan: str = "auto") -> DataFrame:
 
 
 def voterank(graph: Graph, num_seeds: int) -> DataFrame:
-    """(rank, id) of the elected, first to last; ties to the lower id; ends when no votes are left."""
+    """(rank, id) of the elected, first to last; ties to the lower id; ends when no votes are left.
+
+    Vertices vote along their out-arcs.  The elected vertex's (out-)neighbours lose one
+    over the mean (in-)degree of their ability, for each edge to them.  Votes are
+    compared to nine digits.
+    """
 
     def kernel(g: LocalGraph) -> pd.DataFrame:
         s, d, _ = g.arcs("flow")
         if not len(s):
             return pd.DataFrame()
-        average = len(s) / g.n
+        start, to, _ = g.csr("out")
+        loss = g.n / len(to)
         ability, elected = np.ones(g.n), []
         taken = np.zeros(g.n, bool)
-        start, to, _ = g.csr("out")
-        voters = g.csr("in")
         for _ in range(min(num_seeds, g.n)):
-            score = np.bincount(d, ability[s], g.n)
+            score = np.round(np.bincount(d, ability[s], g.n), 9)
             score[taken] = -1
             best = int(score.argmax())
             if score[best] <= 0:
                 break
             elected.append(best)
             taken[best], ability[best] = True, 0.0
-            near = np.unique(voters[1][voters[0][best] : voters[0][best + 1]])
-            ability[near] = np.maximum(0.0, ability[near] - 1 / average)
-            ability[best] = 0.0
+            for v in to[start[best] : start[best + 1]].tolist():
+                ability[v] = max(0.0, ability[v] - loss)
         return pd.DataFrame({"rank": np.arange(len(elected)), "id": g.ids[elected]})
 
     return run_local(graph, kernel, "rank long, id long")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..plans.local import LocalGraph, fits, run_local
-from ..plans.tables import Steps
+from ..plans.tables import Steps, indexed
 
 #: Graphs up to this size run as one task under ``plan="auto"``.
 SMALL = 300_000
@@ -79,8 +79,9 @@ def component_lists(labels: DataFrame) -> DataFrame:
 def connected_components_map(graph: Graph) -> DataFrame:
     """(id, component) with components numbered 0, 1, ... by their least ids."""
     labels = connected_components(graph)
-    heads = labels.select("component").distinct().withColumn("k", F.row_number().over(Window.orderBy("component")) - 1)
-    return labels.join(heads, "component").select("id", F.col("k").cast("long").alias("component"))
+    labels = Steps(graph.spark).write(labels)
+    heads = indexed(labels.select("component").distinct(), ["component"], "k")
+    return labels.join(heads, "component").select("id", F.col("k").alias("component"))
 
 
 def strongly_connected_components(graph: Graph, plan: str = "auto") -> DataFrame:
@@ -193,9 +194,12 @@ def is_bipartite(graph: Graph) -> bool:
     return bipartition(graph).filter("odd").isEmpty()
 
 
-def acyclic_rest(graph: Graph) -> DataFrame:
-    """(id) of vertices left after repeatedly taking away those without in-arcs: none exactly for a DAG."""
-    if fits(graph, SMALL):
+def acyclic_rest(graph: Graph, plan: str = "auto") -> DataFrame:
+    """(id) of vertices left after repeatedly taking away those without in-arcs: none exactly for a DAG.
+
+    An undirected edge is an arc each way, so its ends and what hangs between them stay.
+    """
+    if plan == "local" or plan == "auto" and fits(graph, SMALL):
 
         def kernel(g: LocalGraph) -> pd.DataFrame:
             s, d, _ = g.arcs("out")
@@ -213,13 +217,13 @@ def acyclic_rest(graph: Graph) -> DataFrame:
 
         return run_local(graph, kernel, "id long")
     steps = Steps(graph.spark)
-    left, arcs = steps.write(graph.vertices.select("id")), steps.write(graph.edges.select("src", "dst"))
+    left, arcs = steps.write(graph.vertices.select("id")), steps.write(graph.neighbour_pairs("out"))
     while True:
         top = left.join(arcs.select(F.col("dst").alias("id")), "id", "left_anti")
         if top.isEmpty():
             return left
-        left = steps.write(left.join(top, "id", "left_anti"))
-        arcs = steps.write(arcs.join(left.toDF("src"), "src", "left_semi"))
+        left = steps.write(left.join(arcs.select(F.col("dst").alias("id")).distinct(), "id", "left_semi"), replaces=left)
+        arcs = steps.write(arcs.join(left.toDF("src"), "src", "left_semi"), replaces=arcs)
 
 
 def is_dag(graph: Graph) -> bool:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidGraph
 from ..graph import Graph
-from ..plans.local import LocalGraph, fits, run_local
+from ..plans.local import LIMIT, LocalGraph, fits, run_local
 from ..plans.tables import Steps
 from .components import SMALL, star_labels
 
@@ -25,7 +25,7 @@ def boruvka_mst(graph: Graph, plan: str = "auto") -> DataFrame:
     if graph.is_empty():
         raise InvalidGraph("the graph has no vertices")
     if plan == "local" or plan == "auto" and fits(graph, SMALL):
-        return kruskal_mst(graph)
+        return _kruskal(graph)
     steps = Steps(graph.spark)
     label = steps.write(graph.vertices.select("id", F.col("id").alias("component")))
     edges = steps.write(graph.edges.filter("src <> dst").select("eid", F.col("src").alias("u"), F.col("dst").alias("v"), "weight"))
@@ -47,10 +47,13 @@ def boruvka_mst(graph: Graph, plan: str = "auto") -> DataFrame:
 
 
 def kruskal_mst(graph: Graph) -> DataFrame:
-    """(eid, u, v, weight) of the forest, in one task."""
+    """(eid, u, v, weight) of the forest: edges in order, in one task; beyond what one task takes by rounds, with the same result."""
     if graph.is_empty():
         raise InvalidGraph("the graph has no vertices")
+    return _kruskal(graph) if fits(graph, LIMIT) else boruvka_mst(graph, "distributed")
 
+
+def _kruskal(graph: Graph) -> DataFrame:
     def kernel(g: LocalGraph) -> pd.DataFrame:
         order = np.lexsort((g.eid, g.weight))
         root = list(range(g.n))

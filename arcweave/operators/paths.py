@@ -16,6 +16,10 @@ from ..plans.sources import distances, hops
 from ..plans.tables import Steps
 
 
+#: Most vertices and edges that :func:`floyd_warshall` holds as a dense table.
+DENSE = 4_000
+
+
 def complete(graph: Graph, rows: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """A row for every (source, vertex), unreachable ones null."""
     src = (graph.vertices if sources is None else sources).select(F.col("id").alias("src")).distinct()
@@ -26,14 +30,20 @@ def dijkstra(graph: Graph, source: int, cutoff: float | None = None, cost: Expr
     """(id, dist, pred) for every vertex; null where unreachable or beyond ``cutoff`` (inclusive).
 
     ``cost`` is a column over the edge columns, by default the weight; a null cost is
-    impassable.  A negative or NaN cost raises InvalidArgument if the edge is reached.
+    impassable.  Whole-number costs give whole-number distances, any others doubles.  A negative or NaN cost raises InvalidArgument if the edge is reached.
     """
     graph.require_nodes(source)
-    g = graph if cost is None else graph.with_parts(edges=graph.edges.withColumn("weight", column(cost).cast("double")))
+    g = graph if cost is None else _costed(graph, cost)
     seen = distances(Graph(g.vertices, g.edges.filter("weight is not null"), g.directed), _one(g, source), cutoff, plan) if _clean(g) else _checked(g, source, cutoff, plan)
     return graph.vertices.select("id").join(seen.select("id", "dist", "pred"), "id", "left")
 
 
+def _costed(graph: Graph, cost: Expr) -> Graph:
+    edges = graph.edges.withColumn("weight", column(cost))
+    whole = edges.schema["weight"].dataType.typeName() in ("long", "integer", "short", "byte")
+    return graph.with_parts(edges=edges.withColumn("weight", F.col("weight").cast("long" if whole else "double")))
+
+
 def _one(graph: Graph, node: int) -> DataFrame:
     return graph.spark.createDataFrame([(node,)], "id long")
 
@@ -57,10 +67,10 @@ def _checked(g: Graph, source: int, cutoff: float | None, plan: str) -> DataFram
     return seen
 
 
-def bellman_ford(graph: Graph, source: int) -> DataFrame | None:
+def bellman_ford(graph: Graph, source: int, plan: str = "auto") -> DataFrame | None:
     """(id, dist), null where unreachable; None if a negative cycle is reachable. Weights may be negative."""
-    n = graph.node_count()
-    rows = distances(graph, _one(graph, source), plan="distributed", rounds=max(1, n)) if not fits(graph, LIMIT) else _bf_local(graph, source)
+    local = plan == "local" or plan == "auto" and fits(graph, LIMIT)
+    rows = _bf_local(graph, source) if local else distances(graph, _one(graph, source), plan="distributed", rounds=max(1, graph.node_count()))
     if rows is None or getattr(rows, "improving", False):
         return None
     return graph.vertices.select("id").join(rows.select("id", "dist"), "id", "left")
@@ -73,15 +83,31 @@ def _relax(g: LocalGraph, at: int | None) -> np.ndarray | None:
     dist = np.full(g.n, np.inf) if at is not None else np.zeros(g.n)
     if at is not None:
         dist[at] = 0.0
-    for _ in range(g.n):
+    pred = np.arange(g.n)
+    for k in range(1, g.n + 1):
         new = dist.copy()
-        np.minimum.at(new, d, dist[s] + w)
-        if (new == dist).all():
+        through = dist[s] + w
+        np.minimum.at(new, d, through)
+        better = new < dist
+        if not better.any():
             return dist
+        tight = better[d] & (through == new[d])
+        pred[d[tight]] = s[tight]
         dist = new
+        # Predecessors in a circle are a negative cycle: looked for after 8, 16, 32, ... rounds.
+        if k >= 8 and k & (k - 1) == 0 and _has_circle(pred):
+            return None
     return None
 
 
+def _has_circle(pred: np.ndarray) -> bool:
+    """Whether following predecessors (a root is its own) ever goes in a circle."""
+    end = pred
+    for _ in range(max(1, len(pred)).bit_length() + 1):
+        end = end[end]
+    return bool((pred[end] != end).any())
+
+
 def _bf_local(graph: Graph, source: int) -> DataFrame | None:
     def kernel(g: LocalGraph) -> pd.DataFrame:
         at = g.pos(source)
@@ -106,13 +132,24 @@ def _path(rows: dict[int, tuple[float, int | None]], target: int) -> list[int]:
 
 
 def shortest_path(graph: Graph, source: int, target: int, cost: Expr | None = None) -> tuple[float, list[int]] | None:
-    """(cost, path) or None; predecessors are followed backwards, one lookup a step."""
+    """(cost, path) or None; predecessors are followed backwards.
+
+    Within what one task takes the predecessors come to the driver at once; beyond it
+    they are looked up one a step.
+    """
     graph.require_nodes(source, target)
     steps = Steps(graph.spark)
     rows = steps.write(dijkstra(graph, source, cost=cost))
     row = rows.filter(F.col("id") == target).first()
     if row is None or row["dist"] is None:
         return None
+    if graph.size_upto(LIMIT) <= LIMIT:
+        reached = rows.filter("pred is not null").select("id", "pred").toArrow()
+        before = dict(zip(reached["id"].to_pylist(), reached["pred"].to_pylist()))
+        path = [target]
+        while path[-1] != source:
+            path.append(before[path[-1]])
+        return row["dist"], path[::-1]
     path, at = [target], row
     while at["id"] != source:
         at = rows.filter(F.col("id") == at["pred"]).first()
@@ -150,7 +187,7 @@ def a_star(graph: Graph, source: int, target: int, heuristic: Expr | None = None
                 break
             for k in range(start[u], start[u + 1]):
                 v, d = int(to[k]), best[u] + w[k]
-                if not np.isnan(d) and d < best.get(v, math.inf):
+                if d == d and d < best.get(v, math.inf):
                     best[v], pred[v] = d, u
                     done.discard(v)
                     heapq.heappush(heap, (d + (bound.get(int(lg.ids[v])) or 0.0), v))
@@ -178,7 +215,7 @@ def floyd_warshall(graph: Graph, plan: str = "auto") -> DataFrame:
 
     Distributed: min-plus squaring, ceil(log2 n) joins.
     """
-    if plan == "local" or plan == "auto" and fits(graph, 20_000):
+    if plan == "local" or plan == "auto" and fits(graph, DENSE):
 
         def kernel(g: LocalGraph) -> pd.DataFrame:
             d = np.full((g.n, g.n), np.inf)
@@ -202,9 +239,9 @@ def floyd_warshall(graph: Graph, plan: str = "auto") -> DataFrame:
     return table.withColumn("dist", F.when(F.col("src") == F.col("id"), 0.0).otherwise(F.col("dist")))
 
 
-def johnson(graph: Graph) -> DataFrame | None:
+def johnson(graph: Graph, plan: str = "auto") -> DataFrame | None:
     """(src, id, dist) of all reachable pairs, weights may be negative; None on a negative cycle."""
-    if fits(graph, LIMIT):
+    if plan == "local" or plan == "auto" and fits(graph, LIMIT):
 
         def potentials(g: LocalGraph) -> pd.DataFrame:
             h = _relax(g, None)
@@ -218,7 +255,7 @@ def johnson(graph: Graph) -> DataFrame | None:
         # Reweighted arcs are not negative, whichever way they are walked.
         arcs = graph.arcs("out").join(hs, "src").join(hd, "dst").withColumn("weight", F.greatest(F.lit(0.0), F.col("weight") + F.col("hs") - F.col("hd")))
         g = Graph(graph.vertices, arcs.select(F.monotonically_increasing_id().alias("eid"), "src", "dst", "weight"), True)
-        rows = distances(g)
+        rows = distances(g, plan="local")
         return rows.join(hs, "src").join(h.toDF("id", "hd"), "id").select("src", "id", (F.col("dist") - F.col("hs") + F.col("hd")).alias("dist"))
     rows = distances(graph, plan="distributed", rounds=graph.node_count())
     return None if rows.improving else rows.select("src", "id", "dist")

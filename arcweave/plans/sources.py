@@ -6,20 +6,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .local import LIMIT, LocalGraph, fits
 from .tables import Steps
 
-#: Sources that a batch of the distributed plan relaxes together.
-BATCH = 4096
+#: Most tables that levels stand in before they are written as one.
+TABLES = 16
 
 
 def broadcast_graph(graph):
     """The whole graph as a broadcast ``LocalGraph``; only within LIMIT vertices and edges (checked by the caller)."""
     v = graph.vertices.select("id").toArrow()["id"].to_numpy()
-    e = graph.edges.select("eid", "src", "dst", F.col("weight").cast("double").alias("weight")).toArrow()
+    weight = F.col("weight") if graph.edges.schema["weight"].dataType.typeName() == "long" else F.col("weight").cast("double")
+    # A null weight is no number.
+    e = graph.edges.select("eid", "src", "dst", weight.alias("weight")).toArrow()
     g = LocalGraph(v, *(e[c].to_numpy() for c in ("eid", "src", "dst", "weight")), graph.directed)
     return graph.spark.sparkContext.broadcast(g)
 
@@ -85,81 +87,110 @@ def hops(graph, sources: DataFrame | None = None, most: int | None = None, view:
     steps = Steps(graph.spark)
     arcs = steps.write(graph.neighbour_pairs(view, loops=False).toDF("at", "to").repartition("at"))
     rows = graph.vertices.select("id") if sources is None else sources.select("id").distinct().join(graph.vertices.select("id"), "id", "left_semi")
-    reached = steps.write(rows.select(F.col("id").alias("src"), "id", F.lit(0).cast("long").alias("depth")))
-    d = 0
+    level = steps.write(rows.select(F.col("id").alias("src"), "id", F.lit(0).cast("long").alias("depth")))
+    # Every level is written once; what is reached is their union.
+    reached, d = [level], 0
     while most is None or d < most:
-        frontier = reached.filter(F.col("depth") == d).select("src", F.col("id").alias("at"))
-        new = frontier.join(arcs, "at").select("src", F.col("to").alias("id")).distinct().join(reached, ["src", "id"], "left_anti")
-        new = steps.write(new.withColumn("depth", F.lit(d + 1).cast("long")))
-        if new.isEmpty():
+        d += 1
+        new = level.select("src", F.col("id").alias("at")).join(arcs, "at").select("src", F.col("to").alias("id")).distinct()
+        seen = Observation()
+        new = new.join(_union(reached).select("src", "id"), ["src", "id"], "left_anti").withColumn("depth", F.lit(d).cast("long"))
+        level = steps.write(new.observe(seen, F.count("*").alias("n")))
+        if not seen.get["n"]:
             break
-        reached, d = steps.write(reached.unionByName(new), replaces=reached), d + 1
-        steps.drop(new)
-    return reached
+        reached.append(level)
+        if len(reached) > TABLES:
+            reached = [steps.write(_union(reached))]
+    return _union(reached)
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
 
 
 def dijkstra(g: LocalGraph, at: int, cutoff: float | None = None, view: str = "out") -> tuple[np.ndarray, np.ndarray]:
-    """(distance, predecessor position); inf and -1 where unreachable.  Ties of distance go to the lower predecessor."""
+    """(distance, predecessor position); the dtype's largest value and -1 where unreachable.
+
+    Of several shortest paths one of fewest edges is taken, of its possible
+    predecessors the least.
+    """
     import heapq
 
     start, to, w = g.csr(view)
-    dist, pred = np.full(g.n, np.inf), np.full(g.n, -1, np.int64)
-    dist[at] = 0.0
+    whole = np.issubdtype(w.dtype, np.integer)
+    dist = np.full(g.n, np.iinfo(np.int64).max, np.int64) if whole else np.full(g.n, np.inf)
+    edges, pred = np.full(g.n, g.n + 1, np.int64), np.full(g.n, -1, np.int64)
+    dist[at], edges[at] = 0, 0
     done = np.zeros(g.n, bool)
-    heap = [(0.0, at)]
+    heap = [(dist[at].item(), 0, at)]
     while heap:
-        d, u = heapq.heappop(heap)
+        d, k, u = heapq.heappop(heap)
         if done[u]:
             continue
         done[u] = True
-        for k in range(start[u], start[u + 1]):
-            v, x = to[k], w[k]
-            if np.isnan(x):
+        for arc in range(start[u], start[u + 1]):
+            v, x = int(to[arc]), w[arc].item()
+            if x != x:
                 continue
             e = d + x
             if cutoff is not None and e > cutoff:
                 continue
-            if e < dist[v] or (e == dist[v] and not done[v] and pred[v] >= 0 and u < pred[v]):
-                if e < dist[v]:
-                    heapq.heappush(heap, (e, int(v)))
-                dist[v], pred[v] = e, u
+            new, old = (e, k + 1), (dist[v].item(), edges[v].item())
+            if new < old:
+                heapq.heappush(heap, (e, k + 1, v))
+                dist[v], edges[v], pred[v] = e, k + 1, u
+            elif new == old and u < pred[v]:
+                pred[v] = u
     return dist, pred
 
 
 def distances(graph, sources: DataFrame | None = None, cutoff: float | None = None, plan: str = "auto", view: str = "out", rounds: int | None = None) -> DataFrame:
     """(src, id, dist, pred) of what each source reaches; weights must not be negative for the local plan.
 
-    Null weights are impassable.  The distributed plan relaxes the arcs of what
-    improved in the round before; with ``rounds`` it returns after that many even if it
-    still improves, and the result has ``improving`` as its attribute.
+    Null weights are impassable.  Whole-number weights give whole-number distances,
+    exact to 64 bits; any others are doubles.  Of several shortest paths one of fewest
+    edges counts, of its possible predecessors the least id, in either plan.  The
+    distributed plan relaxes the arcs of what improved in the round before; with
+    ``rounds`` it returns after that many even if it still improves, and the result has
+    ``improving`` as its attribute.
     """
+    kind = "long" if graph.edges.schema["weight"].dataType.typeName() in ("long", "integer", "short", "byte") else "double"
+    graph = graph.map_edge_weights(F.col("weight").cast(kind))
     if plan == "local" or plan == "auto" and fits(graph, LIMIT):
 
         def kernel(g: LocalGraph, at: int) -> pd.DataFrame:
             dist, pred = dijkstra(g, at, cutoff, view)
-            there = np.flatnonzero(np.isfinite(dist))
+            there = np.flatnonzero((pred >= 0) | (np.arange(g.n) == at))
             p = pd.array(g.ids[np.maximum(pred[there], 0)], dtype="Int64")
             p[pred[there] < 0] = pd.NA
             return pd.DataFrame({"src": g.ids[at], "id": g.ids[there], "dist": dist[there], "pred": p})
 
-        return per_source(graph, kernel, "src long, id long, dist double, pred long", sources)
+        return per_source(graph, kernel, f"src long, id long, dist {kind}, pred long", sources)
     steps = Steps(graph.spark)
     arcs = graph.arcs(view).filter("weight is not null").groupBy(F.col("src").alias("at"), F.col("dst").alias("to")).agg(F.min("weight").alias("w"))
     arcs = steps.write(arcs.repartition("at"))
     rows = graph.vertices.select("id") if sources is None else sources.select("id").distinct().join(graph.vertices.select("id"), "id", "left_semi")
-    state = steps.write(rows.select(F.col("id").alias("src"), "id", F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("pred"), F.lit(True).alias("new")))
+    zero = F.lit(0).cast(kind)
+    state = steps.write(rows.select(F.col("id").alias("src"), "id", zero.alias("dist"), F.lit(0).alias("edges"), F.lit(None).cast("long").alias("pred"), F.lit(True).alias("new")))
     k = 0
     while True:
-        step = state.filter("new").select("src", F.col("id").alias("at"), "dist").join(arcs, "at").select("src", F.col("to").alias("id"), (F.col("dist") + F.col("w")).alias("dist"), F.col("at").alias("pred"))
+        step = state.filter("new").select("src", F.col("id").alias("at"), "dist", "edges").join(arcs, "at")
+        step = step.select("src", F.col("to").alias("id"), (F.col("dist") + F.col("w")).alias("dist"), (F.col("edges") + 1).alias("edges"), F.col("at").alias("pred"))
         if cutoff is not None:
             step = step.filter(F.col("dist") <= cutoff)
-        both = state.select("src", "id", "dist", "pred", F.lit(False).alias("new")).unionByName(step.withColumn("new", F.lit(True)))
-        # Of equal distances the one known before stays.
-        best = both.groupBy("src", "id").agg(F.min(F.struct("dist", "new", "pred")).alias("b")).select("src", "id", "b.dist", "b.pred", "b.new")
+        both = state.select("src", "id", "dist", "edges", "pred", F.lit(False).alias("fresh")).unionByName(step.withColumn("fresh", F.lit(True)))
+        best = both.groupBy("src", "id").agg(F.min(F.struct("dist", "edges", "pred")).alias("b"), F.min(F.when(~F.col("fresh"), F.struct("dist", "edges"))).alias("old"))
+        # What has only another predecessor moves nothing on.
+        improved = F.col("old").isNull() | (F.struct("b.dist", "b.edges") < F.col("old"))
+        seen = Observation()
+        best = best.select("src", "id", "b.dist", "b.edges", "b.pred", improved.alias("new")).observe(seen, F.count(F.when(F.col("new"), 1)).alias("n"))
         state = steps.write(best, replaces=state)
         k += 1
-        improving = not state.filter("new").isEmpty()
+        improving = seen.get["n"] > 0
         if not improving or rounds is not None and k >= rounds:
-            out = state.drop("new")
+            out = state.select("src", "id", "dist", "pred")
             out.improving = improving
             return out

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import logging
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_log = logging.getLogger(__name__)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; on a local master, where it is unset, a new temporary one."""
@@ -20,8 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Has a folder deleted when the application ends; results may read it until then."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 class Steps:
-    """Written states of a loop. Only the newest is kept unless asked otherwise."""
+    """Written states of a loop. Those that are replaced go at once, the others when the application ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.n = spark, 0
@@ -30,7 +39,10 @@ class Steps:
     def write(self, df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
         self.n += 1
         path = f"{self.at}/{self.n}"
+        _log.debug("step %s", path)
         df.write.parquet(path)
+        if self.n == 1:
+            delete_at_end(self.spark, self.at)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._step_path = path
         self.drop(replaces)

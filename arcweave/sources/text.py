@@ -37,6 +37,13 @@ def read_edge_list(spark: SparkSession, path: str, sep: str = " ", directed: boo
     return Graph.from_edges(rows.select("src", "dst", "weight"), directed, weight="weight")
 
 
+def load_edge_list(spark: SparkSession, path: str, sep: str = " ", directed: bool = False) -> tuple[Graph, tuple[int, int]]:
+    """(graph, (vertices, edges)) of an edge list; ids are packed as 0 to n - 1 in ascending order of the file's, which become the attributes."""
+    graph = read_edge_list(spark, path, sep, directed)
+    graph = graph.relabel()
+    return graph, (graph.node_count(), graph.edge_count())
+
+
 def write_edge_list(graph: Graph, path: str, sep: str = " ") -> None:
     """``source attr sep target attr sep weight`` a line; isolated vertices are lost."""
     a = graph.vertices.select("id", F.col("attr").cast("string").alias("a"))

@@ -1,14 +1,23 @@
 """One rule in both plans, settled where they stop."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from arcweave.errors import InvalidArgument
 from arcweave.graph import Graph
 from arcweave.operators import approximation as ap
+from arcweave.operators import centrality as ce
 from arcweave.operators import community as cm
+from arcweave.operators import components as co
+from arcweave.operators import mst as ms
+from arcweave.operators import paths as pa
+from arcweave.operators import traversal as tr
+from arcweave.plans.local import LocalGraph
+from arcweave.plans.sources import distances, hops
 
 
 def planted(spark, seed):
@@ -55,3 +64,168 @@ def test_densest_part_is_the_same_in_every_plan(spark, monkeypatch):
     monkeypatch.setattr(ap, "SMALL", 60)
     assert one == ids(ap.densest_subgraph(g))
     assert inside(one) >= inside({v for x in e for v in x[:2]})
+
+
+# --------------------------------------------------------------------------- many small graphs, side by side in one
+
+
+def many(spark, directed, weights=(0, 1, 1, 2, 3), seed=0, n_graphs=24, reweigh=None):
+    """Random graphs of 2 to 9 vertices, with ties, self-loops and parallel edges, as the parts of one graph."""
+    r, nodes, edges = random.Random(seed), [], []
+    for k in range(n_graphs):
+        n = r.randint(2, 9)
+        ids = [1000 * k + 7 * i - 3 for i in range(n)]
+        nodes += ids
+        for _ in range(r.randint(0, 3 * n)):
+            u, v = r.choice(ids), r.choice(ids)
+            edges.append((u, v, float(r.choice(weights)) + (reweigh(u) - reweigh(v) if reweigh else 0)))
+    return Graph.from_lists(spark, nodes, edges, directed)
+
+
+def table(df):
+    return sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect()), key=str)
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_distances_and_predecessors_agree(spark, directed):
+    g = many(spark, directed)
+    for cutoff in (None, 2.0):
+        one, two = (table(distances(g, plan=p, cutoff=cutoff).select("src", "id", "dist", "pred")) for p in ("local", "distributed"))
+        assert one == two
+    # A predecessor lies on a shortest path, and going back ends at the source.
+    dist, pred = {r[:2]: r[2] for r in table(distances(g, plan="local"))}, {r[:2]: r[3] for r in table(distances(g, plan="local"))}
+    for (s, v), p in pred.items():
+        steps = 0
+        while p is not None:
+            assert dist[s, p] <= dist[s, v]
+            v, p, steps = p, pred[s, p], steps + 1
+            assert steps < 10
+        assert v == s
+
+
+@pytest.mark.parametrize("directed", [False, True])
+@pytest.mark.parametrize(
+    "f",
+    [
+        ce.closeness_centrality,
+        ce.harmonic_centrality,
+        ce.betweenness_centrality,
+        ce.edge_betweenness_centrality,
+        co.connected_components,
+        co.strongly_connected_components,
+        co.bipartition,
+        co.acyclic_rest,
+        pa.floyd_warshall,
+        pa.johnson,
+        pa.all_pairs_shortest_path_length,
+        ap.maximum_independent_set,
+        ap.min_maximal_matching,
+        ap.densest_subgraph,
+        cm.label_propagation,
+        cm.infomap,
+        ms.boruvka_mst,
+    ],
+    ids=lambda f: f.__name__,
+)
+def test_plans_give_one_answer(spark, f, directed):
+    g = many(spark, directed, weights=(1, 1, 2, 3), seed=zlib.crc32(f.__name__.encode()) % 97)
+    assert table(f(g, plan="local")) == table(f(g, plan="distributed"))
+
+
+def test_personalized_pagerank_agrees(spark):
+    g = many(spark, True, weights=(1, 2), seed=5)
+    p = g.vertices.select("id", (F.col("id") % 3).cast("double").alias("value"))
+    one, two = ({r["id"]: r["pagerank"] for r in ce.personalized_pagerank(g, p, plan=x, max_iter=15, tol=0.0).collect()} for x in ("local", "distributed"))
+    assert one.keys() == two.keys() and all(abs(one[i] - two[i]) < 1e-12 for i in one)
+    as_list = ce.personalized_pagerank_vec(g, [float(i % 3) for i in sorted(one)], max_iter=15, tol=0.0)
+    assert np.allclose(as_list, [one[i] for i in sorted(one)])
+
+
+def test_negative_weights(spark):
+    g = many(spark, True, weights=(0, 1, 2), seed=3, reweigh=lambda u: u % 5)
+    heads = [r["id"] for r in g.vertices.filter("pmod(id, 1000) = 997").orderBy("id").limit(4).collect()]
+    one = table(pa.johnson(g, plan="local"))
+    assert one == table(pa.johnson(g, plan="distributed"))
+    for s in heads[:2]:
+        assert table(pa.bellman_ford(g, s, plan="local")) == table(pa.bellman_ford(g, s, plan="distributed"))
+    circle = Graph.from_lists(spark, range(4), [(0, 1, 1.0), (1, 2, -3.0), (2, 1, 1.0), (2, 3, 1.0)], True)
+    for p in ("local", "distributed"):
+        assert pa.bellman_ford(circle, 0, plan=p) is None and pa.johnson(circle, plan=p) is None
+        assert pa.bellman_ford(circle, 3, plan=p) is not None
+    bad = Graph.from_lists(spark, range(3), [(0, 1, 4.0), (0, 2, 5.0), (2, 1, -3.0)])
+    for f in (ce.closeness_centrality, ce.harmonic_centrality):
+        with pytest.raises(InvalidArgument):
+            f(bad)
+        with pytest.raises(InvalidArgument):
+            f(Graph.from_lists(spark, range(2), [(0, 1, float("nan"))]))
+
+
+def test_a_negative_circle_far_away_ends_soon():
+    n = 20_000
+    ids = np.arange(n)
+    src, dst = np.append(ids[:-1], n - 1), np.append(ids[1:], 0)
+    weight = np.append(np.ones(n - 1), -float(n))
+    assert pa._relax(LocalGraph(ids, np.arange(n), src, dst, weight, True), None) is None
+    weight[-1] = 1.0 - n
+    assert pa._relax(LocalGraph(ids[:50], np.arange(50), src[:50], dst[:50] % 50, np.append(np.ones(49), -49.0), True), 0) is not None
+
+
+def test_two_sided_search_and_depth_limits(spark):
+    g = many(spark, True, seed=11, n_graphs=6)
+    depth = {(r["src"], r["id"]): r["depth"] for r in hops(g, plan="local").collect()}
+    ids = sorted({s for s, _ in depth})
+    far = sorted(depth, key=lambda k: (-depth[k], k))[:4] + [(ids[0], ids[0]), (ids[0], ids[-1]), (ids[0], 5)]
+    arcs = {(r["src"], r["dst"]) for r in g.edges.collect()}
+    for s, t in far:
+        found = [tr.bidirectional_search(g, s, t, plan=p) for p in ("local", "distributed")]
+        deep = [tr.iddfs(g, s, t, 9, plan=p) for p in ("local", "distributed")]
+        assert found[0] == found[1] and deep[0] == deep[1]
+        for path in (found[0], deep[0]):
+            assert (path is None) == ((s, t) not in depth)
+            if path:
+                assert path[0] == s and path[-1] == t and len(path) - 1 == depth[s, t] and all(e in arcs for e in zip(path, path[1:]))
+        if depth.get((s, t), 0) > 1:
+            assert tr.iddfs(g, s, t, depth[s, t] - 1, plan="distributed") is None
+
+
+def test_kruskal_beyond_one_task(spark, monkeypatch):
+    g = many(spark, False, seed=2)
+    one = table(ms.kruskal_mst(g))
+    monkeypatch.setattr(ms, "LIMIT", 10)
+    assert table(ms.kruskal_mst(g)) == one
+
+
+def test_whole_numbers_stay_exact(spark):
+    big = 2**60 + 1
+    e = spark.createDataFrame([(0, 1, 2, big), (1, 2, 3, 3)], "eid long, src long, dst long, weight long")
+    g = Graph(spark.createDataFrame([(i, i) for i in (1, 2, 3)], "id long, attr long"), e, True)
+    for p in ("local", "distributed"):
+        assert table(pa.dijkstra(g, 1, plan=p)) == [(1, 0, None), (2, big, 1), (3, big + 3, 2)]
+
+
+def plain_voterank(nodes, edges, directed, seeds):
+    degree = sum(1 if directed or u == v else 2 for u, v in edges) / len(nodes)
+    ability, out = dict.fromkeys(nodes, 1.0), []
+    for _ in range(seeds):
+        score = dict.fromkeys(nodes, 0.0)
+        for u, v in edges:
+            score[v] += ability[u]
+            if not directed:
+                score[u] += ability[v]
+        best = min((n for n in nodes if n not in out), key=lambda n: (-round(score[n], 9), n), default=None)
+        if best is None or score[best] <= 1e-9:
+            break
+        out.append(best)
+        ability[best] = 0.0
+        for u, v in edges:
+            for x, y in ((u, v),) if directed or u == v else ((u, v), (v, u)):
+                if x == best:
+                    ability[y] = max(0.0, ability[y] - 1 / degree)
+    return out
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_voterank(spark, directed):
+    g = many(spark, directed, seed=9, n_graphs=6)
+    nodes, edges = sorted(r["id"] for r in g.vertices.collect()), [(r["src"], r["dst"]) for r in g.edges.collect()]
+    assert [r["id"] for r in ce.voterank(g, 12).orderBy("rank").collect()] == plain_voterank(nodes, edges, directed, 12)
