@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import Scratch
 from .fingerprint import op9_fingerprint
 from .media import op6_media
 from .minhash import op2_minhash
 from .mixing import op7_mixing
-from .packing import op1_best_fit_packing
+from .packing import exact_cluster, op1_best_fit_packing
 from .quality import op3_quality
 from .sharding import op10_jump_sharding
 from .suffix import op5_suffix
@@ -28,6 +32,59 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {}
 
+# --------------------------------------------------------------------------- what SQL can say of the others
+
+
+def packing_invariants(spark, sf_dir: str) -> DataFrame:
+    """One row over all of op1's result: documents, words placed, and the bins that are too full or hold two pieces of a source or of a cluster of copies."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", exact_cluster(F.col("text")).alias("cluster"))
+    packed = Scratch(spark, "invariants").keep(op1_best_fit_packing(spark, sf_dir))
+    bins = packed.filter("bin is not null").join(docs, "doc_id").groupBy("bin").agg(
+        F.sum("size").alias("size"),
+        (F.count("source") - F.countDistinct("source")).alias("sources"),
+        (F.count("cluster") - F.countDistinct("cluster")).alias("copies"),
+    )
+    bad = bins.agg(F.count(F.when(F.col("size") > 1024, 1)).alias("too_full"), F.count(F.when(F.col("sources") > 0, 1)).alias("shared_sources"), F.count(F.when(F.col("copies") > 0, 1)).alias("shared_copies"))
+    return packed.agg(F.countDistinct("doc_id").alias("documents"), F.sum("size").alias("words")).join(bad)
+
+
+QUERIES |= {
+    "packing_invariants": packing_invariants,
+    "quality_folds": lambda spark, sf_dir: op3_quality(spark, sf_dir).select("doc_id", "held_out", (F.col("score").between(0, 1) & ((F.col("score") >= 0.5) == (F.col("predicted") == 1))).alias("consistent")),
+    "media_payloads": lambda spark, sf_dir: op6_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32"),
+    "toxicity_folds": lambda spark, sf_dir: op8_toxicity(spark, sf_dir).select("doc_id", "held_out", (F.col("score").between(0, 1) & ((F.col("score") >= 0.3) == (F.col("predicted") == 1))).alias("consistent")),
+    "edited_texts": lambda spark, sf_dir: op9_fingerprint(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256"),
+}
+
+#: t: the table of CRC-32, by its rule.
+_CRC = """t AS MATERIALIZED (
+  SELECT list(r ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(8), lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, i) AS r FROM (SELECT unnest(range(256)) AS i)))"""
+
+
+def _crc(b: str) -> str:
+    return f"""xor(list_reduce(list_transform(range(1, octet_length({b}) + 1), lambda i: ('0x' || hex({b}[i : i]))::BIGINT),
+                              lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295)::BIGINT"""
+
+
+ORACLE_SQL["packing_invariants"] = """
+SELECT count(*) AS documents, sum(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')))::BIGINT AS words,
+       0::BIGINT AS too_full, 0::BIGINT AS shared_sources, 0::BIGINT AS shared_copies FROM documents
+"""
+for _name, _parts, _part in (("quality_folds", 3, 1), ("toxicity_folds", 4, 2)):
+    ORACLE_SQL[_name] = f"WITH {_CRC}, d AS (SELECT doc_id, encode(doc_id::VARCHAR) AS b FROM documents) SELECT doc_id, {_crc('b')} % {_parts} = {_part} AS held_out, true AS consistent FROM d, t"
+ORACLE_SQL["media_payloads"] = f"""
+WITH {_CRC}, d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+p AS (SELECT doc_id, octet_length(b) AS n, b || encode(repeat(' ', (greatest(192, (octet_length(b) + 191) // 192 * 192) - octet_length(b))::INT)) AS p FROM d),
+q AS (SELECT *, p[octet_length(p) - 15 : octet_length(p)] AS tail FROM p)
+SELECT doc_id, n::BIGINT AS n_bytes, octet_length(p)::BIGINT AS payload_bytes, sha256(p) AS payload_sha256, {_crc('tail')} AS tail_crc32 FROM q, t
+"""
+ORACLE_SQL["edited_texts"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, length(t) // 4 AS q, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS next FROM d)
+SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(substring(t, 1, length(t) - q) || substring(next, 1, q)) AS edited_sha256 FROM n
+"""
+
 ORACLE_SQL["op7_mixing"] = """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
@@ -96,15 +153,11 @@ FROM d LEFT JOIN k USING (doc_id)
 """
 
 # The CRC goes byte by byte through its table; a key's jumps are replayed with whole numbers modulo 2**64.
-ORACLE_SQL["op10_jump_sharding"] = """
-WITH RECURSIVE t AS MATERIALIZED (
-  SELECT list(r ORDER BY i) AS t FROM (
-    SELECT i, list_reduce(range(8), lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, i) AS r FROM (SELECT unnest(range(256)) AS i))),
+ORACLE_SQL["op10_jump_sharding"] = f"""
+WITH RECURSIVE {_CRC},
 d AS MATERIALIZED (
   SELECT row_number() OVER () AS row, doc_id, encode(coalesce(text, '')) AS b, md5(coalesce(doc_id::VARCHAR, '')) AS m FROM documents),
-c AS (
-  SELECT row, xor(list_reduce(list_transform(range(1, octet_length(b) + 1), lambda i: ('0x' || hex(b[i : i]))::BIGINT),
-                              lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295)::BIGINT AS text_crc32 FROM d, t),
+c AS (SELECT row, {_crc('b')} AS text_crc32 FROM d, t),
 jump AS (
   SELECT row, n, ('0x' || substr(m, 1, 16))::UBIGINT::HUGEINT AS key, -1::BIGINT AS b, 0::BIGINT AS j FROM d, (VALUES (16), (17)) s(n)
   UNION ALL
