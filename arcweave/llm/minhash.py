@@ -91,11 +91,12 @@ def _signatures(k: int):
     return run
 
 
-def _sets(k: int):
-    """Texts to (doc_id, d1, d2, n, set): the sorted 64-bit shingle hashes as bytes."""
+def _sets(k: int, wanted: BitFilter):
+    """Texts of wanted ids (column h: their hash) to (doc_id, d1, d2, n, set): the sorted 64-bit shingle hashes as bytes."""
 
     def run(batches):
         for batch in batches:
+            batch = batch.filter(pa.array(wanted.test(batch.column("h").to_numpy().view(np.uint64))))
             ids = batch.column("doc_id")
             for i, j, data, off in pieces(batch.column("text")):
                 sets = list(shingle_sets(data, off, k))
@@ -321,13 +322,14 @@ def _open_links(met: DataFrame, stars: DataFrame, sets: DataFrame, percent: int,
     known = met.join(stars.toDF("c", "comp"), "c", "left").select("key", "c", F.coalesce("comp", "c").alias("comp"))
     known = scratch.keep(known, "known")
     several = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    kinds = scratch.keep(known.join(several, "key").groupBy("key", "comp").agg(F.lit(True).alias("open")).drop("open"), "kinds")
-    if kinds.isEmpty():
+    known, closed = scratch.keep(known.join(several, "key"), "open"), known
+    scratch.drop(closed)
+    if known.isEmpty():
         return None
+    members = scratch.keep(known.groupBy("c").agg(F.min("comp").alias("comp")), "members")
+    sizes = scratch.keep(members.groupBy("comp").agg(F.count("*").alias("of")), "sizes")
     # The largest component that a component meets is its unit.
-    members = scratch.keep(known.join(kinds.select("comp").distinct(), "comp", "left_semi").groupBy("c").agg(F.min("comp").alias("comp")), "members")
-    sizes = members.groupBy("comp").agg(F.count("*").alias("of"))
-    kinds = kinds.join(sizes, "comp")
+    kinds = known.select("key", "comp").distinct().join(sizes, "comp")
     largest = kinds.groupBy("key").agg(F.max(F.struct("of", "comp")).alias("largest"))
     units = kinds.join(largest, "key").groupBy("comp").agg(F.max("largest")["comp"].alias("unit"))
     units = scratch.keep(units, "units")
@@ -376,7 +378,7 @@ def _named_rows(docs: DataFrame, k: int, percent: int, id_col: str, text_col: st
     sigs = filt.rows(classes.select("c", "sig", F.col("c.id").alias("id")), "id").select("c", "sig")
     near = pairs.join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b").mapInArrow(_estimate(percent / 100 - SLACK), f"a {CLASS}, b {CLASS}")
     near = scratch.keep(near, "near")
-    sets = filt.rows(docs.filter("doc_id is not null"), "doc_id").mapInArrow(_sets(k), "doc_id long, d1 long, d2 long, n long, set binary")
+    sets = docs.filter("doc_id is not null").withColumn("h", F.xxhash64("doc_id")).mapInArrow(_sets(k, filt), "doc_id long, d1 long, d2 long, n long, set binary")
     sets = sets.select(F.expr("named_struct('id', doc_id, 'd1', d1, 'd2', d2)").alias("c"), "n", "set").join(some, "c", "left_semi").dropDuplicates(["c"])
     sets = scratch.keep(sets, "sets")
     scratch.drop(classes)
@@ -414,15 +416,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     return rows.select("doc_id", F.col("n").alias("n_shingles"), found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept"))
 
 
-def _digests(k: int, at: int):
-    """Adds d1 and d2 of column ``at`` (a text), in its place."""
+def _digests(k: int, wanted: BitFilter):
+    """Rows (row, id, text, h) of wanted ids to (row, id, d1, d2), the digest of the text's set."""
 
     def run(batches):
         for b in batches:
-            for i, j, data, off in pieces(b.column(at)):
+            b = b.filter(pa.array(wanted.test(b.column("h").to_numpy().view(np.uint64))))
+            for i, j, data, off in pieces(b.column("text")):
                 names = np.array([digest(s) for s in shingle_sets(data, off, k)], np.int64).reshape(-1, 2)
                 part = b.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns[:at], pa.array(names[:, 0]), pa.array(names[:, 1])], names=[*b.schema.names[:at], "d1", "d2"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("id"), pa.array(names[:, 0]), pa.array(names[:, 1])], names=["row", "id", "d1", "d2"])
 
     return run
 
@@ -431,25 +434,23 @@ def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_c
     """One document of each near-duplicate group, that with the least id, and all others; columns of ``docs`` stay.
 
     Of rows with one id and one set one stays; rows with one id and different texts are
-    each judged by their own text.  Rows with a null id, or without words, stay; only
-    the copies among rows with one id are reduced.  An empty table stays empty; columns
-    may have any names.  Only rows that may go are shuffled.
+    each judged by their own text.  All rows with a null id, or without words, stay.
+    An empty table stays empty; columns may have any names.  Only rows that may go are shuffled.
     """
     scratch = Scratch(docs.sparkSession, "without")
-    rows = _named_rows(docs, k, percent, id_col, text_col, scratch).filter("doc_id is not null")
-    stays = (F.col("n") == 0) | F.col("component").isNull() | (F.struct(F.col("doc_id").alias("id"), "d1", "d2") == F.col("component"))
+    rows = _named_rows(docs, k, percent, id_col, text_col, scratch).filter("doc_id is not null and n > 0")
+    stays = F.col("component").isNull() | (F.struct(F.col("doc_id").alias("id"), "d1", "d2") == F.col("component"))
     found = rows.withColumn("stays", stays).groupBy("doc_id", "d1", "d2").agg(F.count("*").alias("times"), F.first("stays").alias("stays")).filter("times > 1 or not stays")
     found = scratch.keep(found.select(F.col("doc_id").alias("g"), F.col("d1").alias("g1"), F.col("d2").alias("g2"), "stays"), "going")
     touched = BitFilter(found, "g")
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    maybe = touched.rows(packed, "id")
-    schema = maybe.drop("text").withColumn("d1", F.lit(0).cast("long")).withColumn("d2", F.lit(0).cast("long")).schema
-    maybe = maybe.mapInArrow(_digests(k, 2), schema)
+    schema = packed.drop("text").withColumn("d1", F.lit(0).cast("long")).withColumn("d2", F.lit(0).cast("long")).schema
+    maybe = packed.withColumn("h", F.xxhash64("id")).mapInArrow(_digests(k, touched), schema)
     maybe = maybe.join(found, (F.col("id") == F.col("g")) & (F.col("d1") == F.col("g1")) & (F.col("d2") == F.col("g2")), "left")
     stay = maybe.filter("g is null").select("row")
     one = maybe.filter("g is not null and stays").dropDuplicates(["id", "d1", "d2"]).select("row")
-    rest = touched.rows(packed, "id", inside=False).select("row")
+    rest = touched.rows(packed.select("row", "id"), "id", inside=False).select("row")
     return rest.unionByName(stay).unionByName(one).select("row.*")
 
 
