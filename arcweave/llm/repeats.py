@@ -34,7 +34,7 @@ HOT = 512
 SEGMENT = 1 << 21
 _PLACE = np.uint64((1 << 24) - 1)
 _TOP = np.uint64(1 << 63)
-RUNS = "gram long, digest binary, rid long, start int, n_windows int, content binary"
+RUNS = "gram long, digest binary, rid binary, start int, n_windows int, content binary"
 
 
 class Units:
@@ -111,7 +111,7 @@ def _ship_runs(kind: str, k: int, m: int, repeated: BitFilter, hot: BitFilter |
     def run(batches):
         seen: set[bytes] = set()
         for batch in batches:
-            rid = batch.column("rid").to_numpy()
+            rid = batch.column("rid")
             for i, j, data, off in pieces(batch.column("text")):
                 units, raw = Units(kind, data, off), data.tobytes()
                 for first, end, grams, moved in runs(units, k, m, hot):
@@ -131,7 +131,7 @@ def _ship_runs(kind: str, k: int, m: int, repeated: BitFilter, hot: BitFilter |
                         [
                             pa.array(grams.view(np.int64)),
                             pa.array(digests, pa.binary()),
-                            pa.array(rid[i + row]),
+                            rid.take(pa.array(i + row)),
                             pa.array((first - units.first[row]).astype(np.int32)),
                             pa.array((end - first).astype(np.int32)),
                             pa.array(contents, pa.binary()),
@@ -190,6 +190,11 @@ def _blocks(find: Callable[[list[bytes], int], list[np.ndarray]], k: int):
     return run
 
 
+def row_id(id_col: str, text_col: str) -> F.Column:
+    """128 bits that name a row by its id and text."""
+    return F.unhex(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))), 16, "0") for seed in ("one", "two")]))
+
+
 def repeated_windows(docs: DataFrame, kind: str, k: int, m: int, find: Callable, scratch: Scratch) -> DataFrame:
     """Which windows of each text occur at another place.
 
@@ -235,16 +240,20 @@ def apply_hits(docs: DataFrame, hits: DataFrame, cut: Callable[[list[bytes], lis
     others = [c for c in docs.columns if c not in ("rid", "text")]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others), fields])
 
-    def run(batches):
-        for b in batches:
-            names = b.schema.names
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                found = part.column("hits").to_pylist() if "hits" in names else [None] * part.num_rows
-                texts = [x.encode() if x is not None else b"" for x in part.column("text").to_pylist()]
-                new = cut(texts, found)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), *new], schema=pa.schema([*(part.schema.field(c) for c in others), *(pa.field(f.split()[0], a.type) for f, a in zip(fields.split(", "), new))]))
-
-    touched = here.rows(docs, "rid").join(hits, "rid", "left").mapInArrow(run, schema)
-    clean = here.rows(docs, "rid", inside=False).drop("rid").mapInArrow(run, schema)
-    return touched.unionByName(clean)
+    def run(clean: bool):
+        def cut_all(batches):
+            for b in batches:
+                if clean:
+                    b = b.filter(pa.array(~here.test(b.column("h").to_numpy().view(np.uint64))))
+                for i in range(0, b.num_rows, 256):
+                    part = b.slice(i, 256)
+                    found = [None] * part.num_rows if clean else part.column("hits").to_pylist()
+                    texts = [x.encode() if x is not None else b"" for x in part.column("text").to_pylist()]
+                    new = cut(texts, found)
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), *new], schema=pa.schema([*(part.schema.field(c) for c in others), *(pa.field(f.split()[0], a.type) for f, a in zip(fields.split(", "), new))]))
+
+        return cut_all
+
+    touched = here.rows(docs, "rid").join(hits, "rid", "left").mapInArrow(run(False), schema)
+    untouched = docs.withColumn("h", F.xxhash64("rid")).drop("rid").mapInArrow(run(True), schema)
+    return touched.unionByName(untouched)

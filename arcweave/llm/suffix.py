@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .repeats import apply_hits, covered, repeated_windows
+from .repeats import apply_hits, covered, repeated_windows, row_id
 
 #: Period of the difference cover: suffixes are compared directly on that many bytes.
 V = 64
@@ -244,7 +244,7 @@ def suffix_dedup(docs: DataFrame, k: int = 200, id_col: str = "doc_id", text_col
     scratch = Scratch(docs.sparkSession, "suffix")
     added = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_bytes"] if want_bytes else [])]
     names = [c for c in docs.columns if c not in added]
-    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], F.xxhash64(id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
+    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], row_id(id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
     hits = repeated_windows(rows.select("rid", "text"), "bytes", k, M, suffix_windows, scratch)
     out = apply_hits(rows, hits, _cut(k, want_bytes), "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * want_bytes, scratch)
     return out.toDF(*names, *added)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import _WORDS, Scratch, prefix_sums, range_hash, word_hashes, word_spans
-from .repeats import apply_hits, covered, repeated_windows
+from .repeats import apply_hits, covered, repeated_windows, row_id
 
 #: Words of a minimiser.
 M = 8
@@ -95,7 +95,7 @@ def substring_dedup(docs: DataFrame, k: int = 35, id_col: str = "doc_id", text_c
     scratch = Scratch(docs.sparkSession, "superkmer")
     added = ["n_words", "n_removed", "kept_sha256", *(["kept_text"] if want_text else [])]
     names = [c for c in docs.columns if c not in added and (carry_text or c != text_col)]
-    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], F.xxhash64(id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
+    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], row_id(id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
     hits = repeated_windows(rows.select("rid", "text"), "words", k, min(M, k), count_windows, scratch)
     out = apply_hits(rows, hits, _cut(k, want_text), "n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * want_text, scratch)
     return out.toDF(*names, *added)

@@ -203,3 +203,21 @@ def test_empty_tables(frame):
     assert minhash.near_duplicates(none).count() == 0
     assert superkmer.substring_dedup(none).count() == 0
     assert suffix.suffix_dedup(none).count() == 0
+
+
+def test_substrings_with_null_ids_equal_rows_and_clashing_names(spark):
+    """Rows are judged one by one: a repeated row is a repeat, whatever its id; columns of the added names are replaced."""
+    r = random.Random(6)
+    words = lambda n: " ".join("w%d" % r.randrange(10**6) for _ in range(n))
+    passage = words(50)
+    rows = [(1, passage + " " + words(9)), (1, passage), (None, words(60)), (2, words(45)), (2, None), (None, None), (3, ""), (4, words(40))]
+    rows += [rows[2], rows[7]]
+    docs = spark.createDataFrame([(i, t, "x", 5, "y", 1.5) for i, t in rows], "doc_id long, text string, n_words string, n_removed int, kept_text string, rid double")
+    for f, brute, n in ((superkmer.substring_dedup, brute_words, "n_words"), (suffix.suffix_dedup, brute_bytes, "n_bytes")):
+        # The plain form tells rows apart by place.
+        expected = brute([(k, t) for k, (_, t) in enumerate(rows)])
+        got = f(docs)
+        assert sorted(set(docs.columns) - {"n_words", "n_removed", "kept_text"}) == sorted(set(got.columns) & {"doc_id", "text", "rid"})
+        got = [(x["doc_id"], x["text"], x[n], x["n_removed"]) for x in got.collect()]
+        assert sorted(got, key=str) == sorted([(i, t, expected[k][0], expected[k][1]) for k, (i, t) in enumerate(rows)], key=str)
+        assert f(docs.limit(0)).count() == 0
