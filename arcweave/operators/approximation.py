@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import AlgorithmError, InvalidGraph
 from ..graph import Graph
-from ..plans.local import LocalGraph, fits, run_local
+from ..plans.local import LocalGraph, one_task, run_local
 from ..plans.tables import Steps
 from .components import SMALL
 from .metrics import triangles
@@ -76,7 +76,7 @@ def maximum_independent_set(graph: Graph, plan: str = "auto") -> DataFrame:
     Distributed: rounds in which every undecided vertex that precedes all its undecided
     neighbours is taken; the set is the same.
     """
-    if plan == "local" or plan == "auto" and fits(graph, SMALL):
+    if one_task(graph, plan, SMALL):
 
         def kernel(g: LocalGraph) -> pd.DataFrame:
             near = _sets(g)
@@ -107,7 +107,7 @@ def maximum_independent_set(graph: Graph, plan: str = "auto") -> DataFrame:
 
 def min_maximal_matching(graph: Graph, plan: str = "auto") -> DataFrame:
     """(eid, u, v): edges by id are taken unless they touch one taken before; a self-loop can be."""
-    if plan == "local" or plan == "auto" and fits(graph, SMALL):
+    if one_task(graph, plan, SMALL):
 
         def kernel(g: LocalGraph) -> pd.DataFrame:
             used, keep = np.zeros(g.n, bool), []
@@ -218,7 +218,7 @@ def densest_subgraph(graph: Graph, plan: str = "auto", epsilon: float | None = N
             n -= len(batch) + len(lone)
         return _frame(g, order[keep:] if keep >= 0 else [])
 
-    if plan == "local" or plan == "auto" and fits(graph, SMALL):
+    if one_task(graph, plan, SMALL):
         return run_local(graph, kernel, IDS)
     steps = Steps(graph.spark)
     e = steps.write(graph.edges.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())

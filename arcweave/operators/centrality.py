@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import AlgorithmError, ConvergenceFailed, InvalidArgument, InvalidGraph
 from ..graph import Expr, Graph, column
-from ..plans.local import LIMIT, LocalGraph, fits, run_local
+from ..plans.local import LIMIT, LocalGraph, fits, one_task, run_local
 from ..plans.sources import distances, hops, per_source
 from ..plans.tables import Steps
 from .components import SMALL
@@ -130,7 +130,7 @@ def _brandes_distributed(graph: Graph) -> tuple[DataFrame, DataFrame]:
 def betweenness_centrality(graph: Graph, normalized: bool = False, plan: str = "auto") -> DataFrame:
     """(id, betweenness) over shortest paths by hops; normalised by (n - 1)(n - 2), else halved if undirected."""
     _require(graph)
-    if plan == "local" or plan == "auto" and fits(graph, LIMIT):
+    if one_task(graph, plan, LIMIT):
 
         def kernel(g: LocalGraph, at: int) -> pd.DataFrame:
             delta, _, _ = _brandes(g, at)
@@ -148,7 +148,7 @@ def betweenness_centrality(graph: Graph, normalized: bool = False, plan: str = "
 def edge_betweenness_centrality(graph: Graph, normalized: bool = False, plan: str = "auto") -> DataFrame:
     """(u, v, betweenness) of every arc; undirected edges have a row each way, each with its own way's paths, not halved."""
     _require(graph)
-    if plan == "local" or plan == "auto" and fits(graph, LIMIT):
+    if one_task(graph, plan, LIMIT):
 
         def kernel(g: LocalGraph, at: int) -> pd.DataFrame | None:
             parts = _brandes(g, at)[2]
@@ -200,7 +200,7 @@ def _transition(graph: Graph, weighted: bool) -> tuple[DataFrame, DataFrame]:
 def _pagerank(graph: Graph, damping: float, max_iter: int, tol: float, start: np.ndarray | DataFrame | None, p: DataFrame | None, weighted: bool, norm: str, plan: str, zero_start: str) -> DataFrame:
     if not 0 <= damping <= 1:
         raise InvalidArgument("damping must lie in [0, 1]")
-    if plan == "local" or plan == "auto" and fits(graph, SMALL):
+    if one_task(graph, plan, SMALL):
         given = {r["id"]: r["value"] for r in start.collect()} if start is not None else None
         pers = {r["id"]: r["value"] for r in p.collect()} if p is not None else None
 
@@ -296,7 +296,7 @@ def personalized_pagerank_vec(graph: Graph, personalization: Sequence[float] | N
 def katz_centrality(graph: Graph, alpha: float = 0.1, beta: Expr | None = None, max_iter: int = 1000, tol: float = 1e-6, plan: str = "auto") -> DataFrame:
     """(id, katz): x = alpha A x + beta from 0, summed over out-neighbours, not normalised; raises unless it settles (L2)."""
     b = F.lit(1.0) if beta is None else column(beta).cast("double")
-    if plan == "local" or plan == "auto" and fits(graph, SMALL):
+    if one_task(graph, plan, SMALL):
         bias = None if beta is None else {r["id"]: r["b"] for r in graph.vertices.select("id", b.alias("b")).collect()}
 
         def kernel(g: LocalGraph) -> pd.DataFrame:
@@ -333,7 +333,7 @@ def eigenvector_centrality(graph: Graph, max_iter: int = 1000, tol: float = 1e-6
     Even values without edges or where the vector vanishes; raises unless it settles (L2).
     """
     directed = graph.directed
-    if plan == "local" or plan == "auto" and fits(graph, SMALL):
+    if one_task(graph, plan, SMALL):
 
         def kernel(g: LocalGraph) -> pd.DataFrame:
             s, d, w = g.arcs("flow")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..plans.local import LocalGraph, fits, run_local
+from ..plans.local import LocalGraph, one_task, run_local
 from ..plans.tables import Steps, indexed
 
 #: Graphs up to this size run as one task under ``plan="auto"``.
@@ -32,14 +32,20 @@ def union_find(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def star_labels(nodes: DataFrame, links: DataFrame, steps: Steps) -> DataFrame:
-    """(id, component) by alternating large-star and small-star: least id reachable over links (a, b)."""
+def star_table(links: DataFrame, steps: Steps) -> DataFrame:
+    """(a, b): every node with a link and the least one reachable, without the components' least nodes themselves.
+
+    Alternating large-star and small-star.  ``links``: a, b (of one orderable type);
+    rows with a = b or a null are of no effect.  Each step is an aggregation (partial on
+    the map side) and a join, so no task ever holds all neighbours of one node; every
+    round is written, counted and hashed while it is.
+    """
 
     def write(e: DataFrame, old: DataFrame | None):
         seen = Observation()
-        e = e.observe(seen, F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)).alias("x"))
-        out = steps.write(e, replaces=old)
-        return out, (seen.get["n"], seen.get["x"])
+        hashed = [F.coalesce(F.bit_xor(F.xxhash64(F.lit(k), "a", "b")), F.lit(0)).alias(k) for k in ("x", "y")]
+        out = steps.write(e.observe(seen, F.count("*").alias("n"), *hashed), replaces=old)
+        return out, tuple(seen.get[k] for k in ("n", "x", "y"))
 
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     table, state = write(edges, None)
@@ -54,12 +60,18 @@ def star_labels(nodes: DataFrame, links: DataFrame, steps: Steps) -> DataFrame:
         if now == state:
             break
         state = now
+    return table
+
+
+def star_labels(nodes: DataFrame, links: DataFrame, steps: Steps) -> DataFrame:
+    """(id, component): least id reachable over links (a, b), its own without any."""
+    table = star_table(links, steps)
     return nodes.select("id").join(table.toDF("id", "component"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def connected_components(graph: Graph, plan: str = "auto") -> DataFrame:
     """(id, component): least id of the component; direction is ignored, isolated nodes are components."""
-    if plan == "local" or plan == "auto" and fits(graph, SMALL):
+    if one_task(graph, plan, SMALL):
 
         def kernel(g: LocalGraph) -> pd.DataFrame:
             return pd.DataFrame({"id": g.ids, "component": g.ids[union_find(g.n, g.src, g.dst)]})
@@ -93,7 +105,7 @@ def strongly_connected_components(graph: Graph, plan: str = "auto") -> DataFrame
     """
     if not graph.directed:
         return connected_components(graph, plan)
-    if plan == "local" or plan == "auto" and fits(graph, SMALL):
+    if one_task(graph, plan, SMALL):
         return run_local(graph, _scc_kernel, "id long, component long")
     steps = Steps(graph.spark)
     arcs = steps.write(graph.neighbour_pairs("out", loops=False))
@@ -199,7 +211,7 @@ def acyclic_rest(graph: Graph, plan: str = "auto") -> DataFrame:
 
     An undirected edge is an arc each way, so its ends and what hangs between them stay.
     """
-    if plan == "local" or plan == "auto" and fits(graph, SMALL):
+    if one_task(graph, plan, SMALL):
 
         def kernel(g: LocalGraph) -> pd.DataFrame:
             s, d, _ = g.arcs("out")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidGraph
 from ..graph import Graph
-from ..plans.local import LIMIT, LocalGraph, fits, run_local
+from ..plans.local import LIMIT, LocalGraph, fits, one_task, run_local
 from ..plans.tables import Steps
 from .components import SMALL, star_labels
 
@@ -24,7 +24,7 @@ def boruvka_mst(graph: Graph, plan: str = "auto") -> DataFrame:
     """
     if graph.is_empty():
         raise InvalidGraph("the graph has no vertices")
-    if plan == "local" or plan == "auto" and fits(graph, SMALL):
+    if one_task(graph, plan, SMALL):
         return _kruskal(graph)
     steps = Steps(graph.spark)
     label = steps.write(graph.vertices.select("id", F.col("id").alias("component")))

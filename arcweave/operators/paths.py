@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument, NoPath
 from ..graph import Expr, Graph, column
-from ..plans.local import LIMIT, LocalGraph, fits, run_local
+from ..plans.local import LIMIT, LocalGraph, fits, one_task, run_local
 from ..plans.sources import distances, hops
 from ..plans.tables import Steps
 
@@ -69,7 +69,7 @@ def _checked(g: Graph, source: int, cutoff: float | None, plan: str) -> DataFram
 
 def bellman_ford(graph: Graph, source: int, plan: str = "auto") -> DataFrame | None:
     """(id, dist), null where unreachable; None if a negative cycle is reachable. Weights may be negative."""
-    local = plan == "local" or plan == "auto" and fits(graph, LIMIT)
+    local = one_task(graph, plan, LIMIT)
     rows = _bf_local(graph, source) if local else distances(graph, _one(graph, source), plan="distributed", rounds=max(1, graph.node_count()))
     if rows is None or getattr(rows, "improving", False):
         return None
@@ -215,7 +215,7 @@ def floyd_warshall(graph: Graph, plan: str = "auto") -> DataFrame:
 
     Distributed: min-plus squaring, ceil(log2 n) joins.
     """
-    if plan == "local" or plan == "auto" and fits(graph, DENSE):
+    if one_task(graph, plan, DENSE):
 
         def kernel(g: LocalGraph) -> pd.DataFrame:
             d = np.full((g.n, g.n), np.inf)
@@ -241,7 +241,7 @@ def floyd_warshall(graph: Graph, plan: str = "auto") -> DataFrame:
 
 def johnson(graph: Graph, plan: str = "auto") -> DataFrame | None:
     """(src, id, dist) of all reachable pairs, weights may be negative; None on a negative cycle."""
-    if plan == "local" or plan == "auto" and fits(graph, LIMIT):
+    if one_task(graph, plan, LIMIT):
 
         def potentials(g: LocalGraph) -> pd.DataFrame:
             h = _relax(g, None)

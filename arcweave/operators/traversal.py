@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import NoPath
 from ..graph import Graph
-from ..plans.local import LIMIT, LocalGraph, fits, run_local
+from ..plans.local import LIMIT, LocalGraph, one_task, run_local
 from ..plans.sources import bfs_levels, hops
 from ..plans.tables import Steps
 
@@ -70,7 +70,7 @@ class _Side:
 
 def hop_path(graph: Graph, start: int, target: int, max_depth: int | None = None, plan: str = "auto") -> list[int] | None:
     """A path of fewest hops, at most ``max_depth``; of several parents the least id.  None if there is none."""
-    if not (plan == "local" or plan == "auto" and fits(graph, LIMIT)):
+    if not one_task(graph, plan, LIMIT):
         if not (graph.contains_node(start) and graph.contains_node(target)):
             return None
         side = _Side(graph, start, "out", Steps(graph.spark))
@@ -117,7 +117,7 @@ def bidirectional_search(graph: Graph, start: int, target: int, plan: str = "aut
     one with the smaller frontier (of equal ones the first) goes on, until they meet.
     Of the vertices where they meet the least is taken, and least parents either way.
     """
-    if not (plan == "local" or plan == "auto" and fits(graph, LIMIT)):
+    if not one_task(graph, plan, LIMIT):
         if not (graph.contains_node(start) and graph.contains_node(target)):
             return None
         if start == target:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .local import LIMIT, LocalGraph, fits
+from .local import LIMIT, LocalGraph, one_task
 from .tables import Steps
 
 #: Most tables that levels stand in before they are written as one.
@@ -76,7 +76,7 @@ def hops(graph, sources: DataFrame | None = None, most: int | None = None, view:
     Unknown sources give nothing.  ``plan``: ``local`` runs one breadth-first search a
     source over a broadcast graph, ``distributed`` joins frontiers with arcs.
     """
-    if plan == "local" or plan == "auto" and fits(graph, LIMIT):
+    if one_task(graph, plan, LIMIT):
 
         def kernel(g: LocalGraph, at: int) -> pd.DataFrame:
             depth = bfs_levels(g, at, view, most)
@@ -159,7 +159,7 @@ def distances(graph, sources: DataFrame | None = None, cutoff: float | None = No
     """
     kind = "long" if graph.edges.schema["weight"].dataType.typeName() in ("long", "integer", "short", "byte") else "double"
     graph = graph.map_edge_weights(F.col("weight").cast(kind))
-    if plan == "local" or plan == "auto" and fits(graph, LIMIT):
+    if one_task(graph, plan, LIMIT):
 
         def kernel(g: LocalGraph, at: int) -> pd.DataFrame:
             dist, pred = dijkstra(g, at, cutoff, view)

@@ -30,17 +30,17 @@ def delete_at_end(spark: SparkSession, path: str) -> None:
 
 
 class Steps:
-    """Written states of a loop. Those that are replaced go at once, the others when the application ends."""
+    """Written tables that cut lineage. Those that are replaced or dropped go at once, the others when the application ends."""
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, name: str = "steps"):
         self.spark, self.n = spark, 0
-        self.at = f"{shared_dir(spark)}/steps-{uuid.uuid4().hex[:12]}"
+        self.at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
-    def write(self, df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
+    def write(self, df: DataFrame, replaces: DataFrame | None = None, name: str = "", codec: str = "snappy") -> DataFrame:
         self.n += 1
-        path = f"{self.at}/{self.n}"
+        path = f"{self.at}/{self.n}" + f"-{name}" * bool(name)
         _log.debug("step %s", path)
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
         if self.n == 1:
             delete_at_end(self.spark, self.at)
         out = self.spark.read.schema(df.schema).parquet(path)
@@ -48,11 +48,12 @@ class Steps:
         self.drop(replaces)
         return out
 
-    def drop(self, df: DataFrame | None) -> None:
-        path = getattr(df, "_step_path", None)
-        if path:
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+    def drop(self, *tables: DataFrame | None) -> None:
+        for t in tables:
+            path = getattr(t, "_step_path", None)
+            if path:
+                p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def indexed(df: DataFrame, order: list[str], name: str) -> DataFrame:

@@ -419,18 +419,23 @@ query("label_propagation_settled", sql="SELECT 0::BIGINT AS unsettled")(lambda g
 query("infomap_partition", sql=_WHOLE)(lambda g: _partition(g, cm.infomap(g, 20, 1)))
 query("infomap_settled", sql="SELECT 0::BIGINT AS unsettled")(lambda g: _unsettled(g, cm.infomap(g, 200, 1), "weight"))
 query("louvain_partition", sql=_WHOLE)(lambda g: _partition(g, cm.louvain(g, 1)))
+query("louvain_distributed_partition", sql=_WHOLE)(lambda g: _partition(g, cm.louvain(g, 1, plan="distributed")))
 query("girvan_newman_partition", sql=_WHOLE)(lambda g: _partition(g, cm.girvan_newman(g, 3)))
 query("spectral_clustering_partition", "nation_trade", _WHOLE + " WHERE id IS NOT NULL")(lambda g: _partition(g, cm.spectral_clustering(g, 3, 1)))
 
 
-@query("louvain_gain", sql="SELECT true AS better_than_components, true AS better_than_attr")
-def _louvain_gain(g: Graph) -> DataFrame:
+def _gain(g: Graph, labels: DataFrame) -> DataFrame:
     """Whether the communities' modularity exceeds that of components and of the vertex attribute."""
-    of = lambda labels: cm.modularity(g, labels).first()[0]
-    q = of(cm.louvain(g, 1))
+    of = lambda x: cm.modularity(g, x).first()[0]
+    q = of(labels)
     return g.spark.createDataFrame([(q > of(co.connected_components(g)) + 0.1, q > of(g.vertices.select("id", F.col("attr").alias("component"))) + 0.1)], "better_than_components boolean, better_than_attr boolean")
 
 
+_BETTER = "SELECT true AS better_than_components, true AS better_than_attr"
+query("louvain_gain", sql=_BETTER)(lambda g: _gain(g, cm.louvain(g, 1)))
+query("louvain_distributed_gain", sql=_BETTER)(lambda g: _gain(g, cm.louvain(g, 1, plan="distributed")))
+
+
 @query("girvan_newman_parts", sql="SELECT true AS enough, 0::BIGINT AS in_pieces")
 def _girvan_newman_parts(g: Graph) -> DataFrame:
     """Whether there are three communities, and how many of them do not hang together."""
