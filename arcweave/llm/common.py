@@ -8,8 +8,6 @@ counts as empty everywhere.
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.tables import Steps
+
 #: SQL pattern of one word.
 WORD = r"[^\\x20\\x09-\\x0D]+"
 
@@ -28,50 +28,17 @@ _IS_WORD = ~_SPACE
 # --------------------------------------------------------------------------- tables
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``).
-
-    Where the session names none, and only on a local master, a temporary folder
-    is set for the session.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="arcweave-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-class Scratch:
-    """Written tables that cut lineage; ``drop`` removes one that nothing reads any more."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        self.n = 0
+class Scratch(Steps):
+    """Written tables that cut lineage, compressed; ``drop`` removes what nothing reads any more."""
 
     def keep(self, df: DataFrame, name: str = "t", codec: str = "zstd") -> DataFrame:
-        self.n += 1
-        path = f"{self.at}/{self.n}-{name}"
-        df.write.option("compression", codec).parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
+        return self.write(df, name=name, codec=codec)
 
     def release(self) -> None:
         """Has the driver forget unused plans, so that Spark deletes their shuffle files."""
         gc.collect()
         self.spark._jvm.System.gc()
 
-    def drop(self, *tables: DataFrame | None) -> None:
-        jvm = self.spark._jvm
-        for t in tables:
-            path = getattr(t, "_scratch_path", None)
-            if path:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-
 
 def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Lets Spark hand Python at most ``most`` bytes at once, so that long texts don't fill a worker's memory."""

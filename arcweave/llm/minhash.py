@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import star_table
 from .common import BitFilter, Scratch, mix, pieces, shingle_sets, small_batches
-from .components import star_components
 
 #: 40 bands of 5 minima: a pair at similarity 0.8 shares none with probability (1 - 0.8**5)**40 = 1.2e-7.
 BANDS, ROWS = 40, 5
@@ -384,16 +384,17 @@ def _named_rows(docs: DataFrame, k: int, percent: int, id_col: str, text_col: st
     scratch.drop(classes)
     load = sets.select("c", "set")
     links = near.join(load.toDF("a", "set_a"), "a").join(load.toDF("b", "set_b"), "b").mapInArrow(_confirm(percent), f"a {CLASS}, b {CLASS}")
-    stars = star_components(scratch.keep(links, "links"), scratch)
+    stars = star_table(scratch.keep(links, "links"), scratch)
     scratch.release()
     more = _open_links(met, stars, sets, percent, scratch)
     scratch.drop(met, sets)
     if more is not None and not more.isEmpty():
-        stars = star_components(stars.unionByName(more), scratch)
+        stars = star_table(stars.unionByName(more), scratch)
     scratch.release()
     names = rows.filter("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"))
     names = names.select("d1", "d2", F.struct("id", "d1", "d2").alias("c")).join(stars.toDF("c", "component"), "c", "left")
-    names = names.select("d1", "d2", F.coalesce("component", "c").alias("component"))
+    # Written, so that the join below has one plain exchange a side, whose hot keys (large groups of copies) can be split.
+    names = scratch.keep(names.select("d1", "d2", F.coalesce("component", "c").alias("component")), "components")
     return rows.select("doc_id", "n", "d1", "d2").join(names, ["d1", "d2"], "left")
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from arcweave.llm import common, minhash, repeats, suffix, superkmer
-from arcweave.llm.components import star_components
+from arcweave.operators.components import star_table
 
 
 def brute_near(rows, k):
@@ -111,11 +111,11 @@ def test_without_near_duplicates(frame, corpus):
     assert minhash.without_near_duplicates(docs).columns == docs.columns
 
 
-def test_star_components(spark):
+def test_star_table(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     from arcweave.llm.common import Scratch
 
-    got = {r["a"]: r["b"] for r in star_components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "t")).collect()}
+    got = {r["a"]: r["b"] for r in star_table(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "t")).collect()}
     assert got == {**{i: 0 for i in range(1, 51)}, **{i: 100 for i in range(101, 140)}}
 
 
