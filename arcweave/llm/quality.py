@@ -51,6 +51,9 @@ def layout(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     blocks = (size + STEP + BLOCK - 1) // BLOCK
     first = np.concatenate(([0], np.cumsum(blocks)))
     flat = np.zeros(int(first[-1]) * BLOCK + STEP, np.uint8)
+    if len(size) == 1:
+        flat[: len(data)] = data
+        return flat, first
     place = np.repeat(first[:-1] * BLOCK - off[:-1], size) + np.arange(len(data))
     flat[place] = data
     return flat, first
