@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -117,33 +118,48 @@ def dijkstra(g: LocalGraph, at: int, cutoff: float | None = None, view: str = "o
     Of several shortest paths one of fewest edges is taken, of its possible
     predecessors the least.
     """
-    import heapq
-
     start, to, w = g.csr(view)
-    whole = np.issubdtype(w.dtype, np.integer)
-    dist = np.full(g.n, np.iinfo(np.int64).max, np.int64) if whole else np.full(g.n, np.inf)
-    edges, pred = np.full(g.n, g.n + 1, np.int64), np.full(g.n, -1, np.int64)
+    if len(w) and (w == w[0]).all() and w[0] > 0:
+        return _even_distances(g, at, cutoff, view)
+    far = np.iinfo(np.int64).max if np.issubdtype(w.dtype, np.integer) else np.inf
+    begin, ends, cost = g.lists(view)
+    dist, edges, pred, done = [far] * g.n, [g.n + 1] * g.n, [-1] * g.n, [False] * g.n
     dist[at], edges[at] = 0, 0
-    done = np.zeros(g.n, bool)
-    heap = [(dist[at].item(), 0, at)]
+    heap = [(0, 0, at)]
     while heap:
-        d, k, u = heapq.heappop(heap)
+        d, k, u = heappop(heap)
         if done[u]:
             continue
         done[u] = True
-        for arc in range(start[u], start[u + 1]):
-            v, x = int(to[arc]), w[arc].item()
-            if x != x:
-                continue
-            e = d + x
-            if cutoff is not None and e > cutoff:
-                continue
-            new, old = (e, k + 1), (dist[v].item(), edges[v].item())
-            if new < old:
-                heapq.heappush(heap, (e, k + 1, v))
-                dist[v], edges[v], pred[v] = e, k + 1, u
-            elif new == old and u < pred[v]:
-                pred[v] = u
+        k += 1
+        for arc in range(begin[u], begin[u + 1]):
+            v = ends[arc]
+            e = d + cost[arc]
+            if e <= dist[v] and (cutoff is None or e <= cutoff):
+                if e < dist[v] or k < edges[v]:
+                    dist[v], edges[v], pred[v] = e, k, u
+                    heappush(heap, (e, k, v))
+                elif k == edges[v] and u < pred[v]:
+                    pred[v] = u
+    return np.array(dist, w.dtype if len(w) else float), np.array(pred, np.int64)
+
+
+def _even_distances(g: LocalGraph, at: int, cutoff: float | None, view: str) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`dijkstra` where all weights are one positive number: level by level."""
+    start, to, w = g.csr(view)
+    depth = bfs_levels(g, at, view)
+    # Lengths as they add up along a path.
+    length = np.concatenate((w[:1] * 0, np.cumsum(np.full(max(1, int(depth.max())), w[0], w.dtype))))
+    dist = np.full(g.n, np.iinfo(np.int64).max if np.issubdtype(w.dtype, np.integer) else np.inf, w.dtype)
+    there = depth >= 0
+    if cutoff is not None:
+        there &= length[np.maximum(depth, 0)] <= cutoff
+    dist[there] = length[depth[there]]
+    origin = np.repeat(np.arange(g.n), np.diff(start))
+    down = there[origin] & there[to] & (depth[to] == depth[origin] + 1)
+    pred = np.full(g.n, g.n, np.int64)
+    np.minimum.at(pred, to[down], origin[down])
+    pred[pred == g.n] = -1
     return dist, pred
 
 

@@ -86,9 +86,9 @@ def table(df):
     return sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect()), key=str)
 
 
-@pytest.mark.parametrize("directed", [False, True])
-def test_distances_and_predecessors_agree(spark, directed):
-    g = many(spark, directed)
+@pytest.mark.parametrize("directed, weights", [(False, (0, 1, 1, 2, 3)), (True, (0, 1, 1, 2, 3)), (True, (0.1,))])
+def test_distances_and_predecessors_agree(spark, directed, weights):
+    g = many(spark, directed, weights)
     for cutoff in (None, 2.0):
         one, two = (table(distances(g, plan=p, cutoff=cutoff).select("src", "id", "dist", "pred")) for p in ("local", "distributed"))
         assert one == two
