@@ -10,39 +10,40 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.tables import indexed
 from .common import Scratch, n_words
 
 #: The seeded order of a source is cut into 16**3 slices, so running sums never need one task per source.
 SLICE_DIGITS = 3
 
 
-def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, max_epochs: float) -> DataFrame:
+def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, max_epochs: float, scratch: Scratch) -> DataFrame:
     """Targets of the sources.
 
     ``sizes`` has one row a source: ``source`` (null allowed) and ``source_size``.
     Sources in code-point order, null last, get ``weights`` in turn.  They share
     ``share`` times the sum of all sizes by weight; no target exceeds ``max_epochs``
     times its source's size, and what is cut off goes to the others by weight until
-    none is above.  The fixed point is found in closed form: with sources ordered by
-    cap / weight, the first ones are at their caps and the others at
-    ``weight * level``.  Sources of size 0 get 0.  Returns source, source_size, target.
+    none is above.  A round is one aggregation: sources whose cap is at most the level
+    times their weight are clamped, and the level of the others follows from what these
+    leave; it only rises, and ends when no further source is clamped.  Sources are
+    numbered from range partitions, so any number of them is dealt with.  Sources of
+    size 0 get 0.  Returns source, source_size, weight, target.
     """
     # Binary comparison of UTF-8 is code-point order.
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
-    rows = sizes.withColumn("weight", w).withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
-    up = Window.orderBy((F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    before, after = up.rowsBetween(Window.unboundedPreceding, -1), up.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    whole = Window.partitionBy()
-    rows = (
-        rows.withColumn("total", F.least(F.sum("source_size").over(whole) * F.lit(float(share)), F.sum("cap").over(whole)))
-        .withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-        # Free sources are those whose cap is above the level that holds from them on.
-        .withColumn("free", F.col("level") * F.col("weight") < F.col("cap"))
-        .withColumn("final", F.min(F.when(F.col("free"), F.struct(F.col("cap") / F.col("weight"), F.col("level")))).over(whole)["level"])
-        .withColumn("target", F.when(F.col("free"), F.col("final") * F.col("weight")).otherwise(F.col("cap")))
-    )
-    return rows.select("source", "source_size", "weight", F.least("target", "cap").alias("target"))
+    rows = indexed(sizes.withColumn("__null", F.col("source").isNull()), ["__null", "source"], "__number")
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.col("__number"), F.lit(len(weights))) + 1).cast("int"))
+    rows = scratch.keep(rows.select("source", "source_size", w.alias("weight"), (F.col("source_size") * F.lit(float(max_epochs))).alias("cap")), "sources")
+    size, caps = rows.agg(F.sum("source_size"), F.sum("cap")).first()
+    total, level = min((size or 0) * float(share), caps or 0.0), 0.0
+    while True:
+        clamped = F.col("cap") <= F.lit(level) * F.col("weight")
+        used, free = rows.agg(F.sum(F.when(clamped, F.col("cap"))), F.sum(F.when(~clamped, F.col("weight")))).first()
+        after = (total - (used or 0.0)) / free if free else level
+        if after <= level:
+            break
+        level = after
+    return rows.select("source", "source_size", "weight", F.when(clamped, F.col("cap")).otherwise(F.lit(level) * F.col("weight")).alias("target"))
 
 
 def mix_sources(
@@ -79,11 +80,12 @@ def mix_sources(
         F.xxhash64(F.col(text_col)).alias("__tie"),
         *[F.col(c).alias(f"__carry_{k}") for k, c in enumerate(carry)],
     ).withColumn("__slice", F.substring("__turn", 1, SLICE_DIGITS))
+    scratch = Scratch(docs.sparkSession, "mixing")
     if not carry:
         # Without texts rows are narrow: written once, so that words are counted once.
-        rows = Scratch(docs.sparkSession, "mixing").keep(rows)
-    slices = rows.groupBy("source", "__slice").agg(F.sum("size").alias("__words"))
-    targets = source_targets(slices.groupBy("source").agg(F.sum("__words").alias("source_size")), weights, share, max_epochs)
+        rows = scratch.keep(rows, "rows")
+    slices = scratch.keep(rows.groupBy("source", "__slice").agg(F.sum("size").alias("__words")), "slices")
+    targets = source_targets(slices.groupBy("source").agg(F.sum("__words").alias("source_size")), weights, share, max_epochs, scratch)
     earlier = Window.partitionBy("source").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     # At most 16**SLICE_DIGITS rows a source.
     starts = slices.withColumn("__before", F.coalesce(F.sum("__words").over(earlier), F.lit(0)))

@@ -130,6 +130,18 @@ def test_mixing(frame, corpus):
     assert mixing.mix_sources(frame([])).count() == 0 and mixing.mix_sources(frame([(1, None), (2, "")])).count() == 2
 
 
+@pytest.mark.parametrize("share, cap", [(1.5, 2.0), (0.4, 1.0), (1.0, 1.25)])
+def test_targets_of_many_sources(spark, share, cap):
+    from arcweave.llm.common import Scratch
+
+    r = random.Random(str((share, cap)))
+    sizes = {f"s{r.randrange(10**6)}é": r.choice([0, 1, 10, 500, r.randint(1, 10**6)]) for _ in range(60)} | {None: 77}
+    order = sorted((s for s in sizes if s is not None)) + [None]
+    expected = fill(sizes, {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}, share * sum(sizes.values()), cap)
+    rows = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"), (3, 1, 2), share, cap, Scratch(spark, "t")).collect()
+    assert {x["source"] for x in rows} == set(sizes) and all(abs(x["target"] - expected[x["source"]]) < 1e-6 for x in rows)
+
+
 def test_mixing_all_capped(frame):
     rows = mixing.mix_sources(frame([(i, "a b c") for i in range(9)]), share=5.0).collect()
     assert all(r["taken"] == 6 for r in rows)
