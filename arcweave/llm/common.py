@@ -159,9 +159,15 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of every word."""
-    s = prefix_sums((_TABLE_LOWER if lower else _TABLE)[data], _BYTES)
-    return range_hash(s, starts, ends, _BYTES)
+    """A 64-bit hash of every word, about ``PART`` bytes at a time."""
+    table, out, i = _TABLE_LOWER if lower else _TABLE, np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        a = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, a + PART, "right")))
+        s = prefix_sums(table[data[a : ends[j - 1]]], _BYTES)
+        out[i:j] = range_hash(s, starts[i:j] - a, ends[i:j] - a, _BYTES)
+        i = j
+    return out
 
 
 #: Texts longer than this are cut, between words, into parts of about this many bytes before they are laid out in arrays.

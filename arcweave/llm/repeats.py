@@ -220,14 +220,15 @@ def repeated_windows(docs: DataFrame, kind: str, k: int, m: int, find: Callable,
 
 def covered(n: int, hits: list[dict] | None, k: int) -> np.ndarray:
     """Which of n units lie in a flagged window."""
-    if not hits:
-        return np.zeros(n, bool)
-    edge = np.zeros(n + 1, np.int64)
-    for hit in hits:
-        at = hit["start"] + np.flatnonzero(np.unpackbits(np.frombuffer(hit["flags"], np.uint8), count=hit["n_windows"]))
-        edge[at] += 1
-        edge[at + k] -= 1
-    return np.cumsum(edge[:n]) > 0
+    gone = np.zeros(n, bool)
+    starts = [hit["start"] + np.flatnonzero(np.unpackbits(np.frombuffer(hit["flags"], np.uint8), count=hit["n_windows"])) for hit in hits or ()]
+    at = np.unique(np.concatenate(starts)) if starts else gone[:0]
+    if len(at):
+        # Windows that touch are one span.
+        cut = np.flatnonzero(np.diff(at) > k) + 1
+        for a, z in zip(at[np.concatenate(([0], cut))].tolist(), at[np.concatenate((cut - 1, [len(at) - 1]))].tolist()):
+            gone[a : z + k] = True
+    return gone
 
 
 def apply_hits(docs: DataFrame, hits: DataFrame, cut: Callable[[list[bytes], list], list[pa.Array]], fields: str, scratch: Scratch) -> DataFrame:

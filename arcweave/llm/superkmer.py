@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _WORDS, Scratch, prefix_sums, range_hash, word_hashes, word_spans
+from .common import _WORDS, PART, Scratch, cuts, prefix_sums, range_hash, word_hashes, word_spans
 from .repeats import apply_hits, covered, repeated_windows, row_id
 
 #: Words of a minimiser.
@@ -55,13 +55,22 @@ def _cut(k: int, want_text: bool):
     def run(texts: list[bytes], hits: list) -> list[pa.Array]:
         n, removed, digests, kept = [], [], [], []
         for t, found in zip(texts, hits):
-            words = t.split()
-            gone = covered(len(words), found, k)
+            # Long texts are split into words part by part.
+            parts = [t] if len(t) <= PART else [p.tobytes() for p in cuts(np.frombuffer(t, np.uint8), PART)]
+            counts = [len(p.split()) for p in parts]
+            gone = covered(sum(counts), found, k)
             some = bool(gone.any())
-            left = [w for w, g in zip(words, gone) if not g] if some else words
-            n.append(len(words))
-            removed.append(len(words) - len(left))
-            digests.append(hashlib.sha256(b" ".join(left)).hexdigest())
+            digest, at, left = hashlib.sha256(), 0, 0
+            for p, m in zip(parts, counts):
+                words = p.split()
+                if some:
+                    words = [w for w, g in zip(words, gone[at : at + m]) if not g]
+                if words:
+                    digest.update((b" " if left else b"") + b" ".join(words))
+                at, left = at + m, left + len(words)
+            n.append(at)
+            removed.append(at - left)
+            digests.append(digest.hexdigest())
             if want_text:
                 kept.append(_without(t, gone).decode() if some else t.decode())
         return [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), *([pa.array(kept, pa.string())] if want_text else [])]

@@ -142,6 +142,21 @@ def test_substring_dedup(frame, corpus, monkeypatch):
             assert hashlib.sha256(b" ".join(r["kept_text"].encode().split())).hexdigest() == r["kept_sha256"] and r["rid"] == "clash"
 
 
+def test_long_texts_in_parts(corpus, monkeypatch):
+    """The same cuts where texts are laid out and split in small parts."""
+    texts = [(t or "").encode() for _, t in corpus]
+    hits = [[{"start": 2, "n_windows": 9, "flags": np.packbits([1, 0, 0, 1, 0, 0, 0, 0, 1]).tobytes()}] if len(t.split()) > 60 else None for t in texts]
+    whole = [c.to_pylist() for c in superkmer._cut(35, True)(texts, hits)]
+    data = np.frombuffer(b" ".join(texts), np.uint8)
+    starts, ends, _ = common.word_spans(data, np.array([0, len(data)]))
+    hashes = common.word_hashes(data, starts, ends)
+    for part in (40, 1000):
+        monkeypatch.setattr(superkmer, "PART", part)
+        monkeypatch.setattr(common, "PART", part)
+        assert [c.to_pylist() for c in superkmer._cut(35, True)(texts, hits)] == whole
+        assert (common.word_hashes(data, starts, ends) == hashes).all()
+
+
 def brute_bytes(rows, k=200):
     texts = [(i, (t or "").encode()) for i, t in rows]
     c = Counter(t[j : j + k] for _, t in texts for j in range(len(t) - k + 1))

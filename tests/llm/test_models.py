@@ -56,14 +56,21 @@ def test_one_label_or_none(module):
 
 
 def test_odd_tables(spark, frame):
-    net = quality.train([b"a b", b"!!"], [1, 0])
-    docs = frame([(1, None), (None, "a"), (1, "a"), (1, "a")]).withColumn("c0", quality.F.lit(5)).withColumn("score", quality.F.lit("old"))
-    out = quality.score_documents(docs, net)
-    assert out.count() == 4 and out.schema["score"].dataType.simpleString() == "double" and out.select("c0").first()[0] == 5
-    assert quality.score_documents(frame([]), net).count() == 0
-    tox = toxicity.train([b"a b", b"!!"], [1, 0])
+    rows = [(1, None), (None, "a"), (1, "a"), (1, "a"), (2, ""), (3, "a b " * 90_000)]
+    docs = frame(rows).withColumn("c0", quality.F.lit(5)).withColumn("score", quality.F.lit("old"))
+    net, tox = quality.train([b"a b", b"!!"], [1, 0]), toxicity.train([b"a b", b"!!"], [1, 0])
     tox.thresholds = {"": 0.5, "en": 0.1}
-    assert toxicity.flag_toxic(toxicity.score_toxicity(docs, tox), tox).count() == 4
+    for module, out in ((quality, quality.score_documents(docs, net)), (toxicity, toxicity.score_toxicity(docs, tox))):
+        model = net if module is quality else tox
+        alone = lambda t: module.scores(model, np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0]  # noqa: B023, E731
+        got = [(r["doc_id"], r["text"], r["score"]) for r in out.collect()]
+        assert [g[:2] for g in got] == rows and out.columns.count("score") == 1 and out.schema["score"].dataType.simpleString() == "double"
+        # Each row by its text alone, a null as no text; other columns stay.
+        assert all(abs(s - alone(t or "")) < 1e-5 for _, t, s in got) and got[1][2] == got[2][2] == got[3][2] and got[0][2] == got[4][2]
+        assert {r["c0"] for r in out.collect()} == {5}
+    flags = toxicity.flag_toxic(toxicity.score_toxicity(docs, tox), tox).collect()
+    assert [r["flagged"] for r in flags] == [r["score"] >= 0.1 for r in flags]
+    assert quality.score_documents(frame([]), net).count() == 0 and toxicity.score_toxicity(frame([]), tox).count() == 0
 
 
 def test_calibration():
