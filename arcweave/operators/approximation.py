@@ -30,15 +30,14 @@ def _sets(g: LocalGraph) -> list[set[int]]:
     return near
 
 
-def _greedy_clique(near: list[set[int]], inside: set[int] | None = None) -> set[int]:
+def _greedy_clique(near: list[set[int]]) -> set[int]:
     """From every seed, neighbours by falling degree (then id) are added while adjacent to all; the first largest wins."""
     best: set[int] = set()
-    for seed in sorted(inside) if inside is not None else range(len(near)):
-        around = near[seed] if inside is None else near[seed] & inside
-        if len(around) + 1 <= len(best):
+    for seed in range(len(near)):
+        if len(near[seed]) + 1 <= len(best):
             continue
         clique = {seed}
-        for v in sorted(around, key=lambda x: (-len(near[x]), x)):
+        for v in sorted(near[seed], key=lambda x: (-len(near[x]), x)):
             if clique <= near[v]:
                 clique.add(v)
         if len(clique) > len(best):
@@ -56,15 +55,45 @@ def large_clique_size(graph: Graph) -> int:
 
 
 def clique_removal(graph: Graph) -> DataFrame:
-    """(clique, id): a partition into greedy cliques, each taken from what the ones before left."""
+    """(clique, id): a partition into greedy cliques, each taken from what the ones before left.
+
+    A seed's greedy clique is grown again only when a neighbour of the seed has gone.
+    """
 
     def kernel(g: LocalGraph) -> pd.DataFrame:
-        near, left, rows, k = _sets(g), set(range(g.n)), [], 0
-        while left:
-            c = _greedy_clique(near, left)
-            rows += [(k, int(g.ids[v])) for v in sorted(c)]
-            left -= c
+        near, rows, k = _sets(g), [], 0
+        left = [True] * g.n
+        rank = np.empty(g.n, np.int64)
+        rank[np.lexsort((np.arange(g.n), [-len(x) for x in near]))] = np.arange(g.n)
+        rank = rank.tolist()
+
+        def grown(seed: int) -> set[int]:
+            clique = {seed}
+            for v in sorted(near[seed], key=rank.__getitem__):
+                if clique <= near[v]:
+                    clique.add(v)
+            return clique
+
+        size = [len(grown(v)) for v in range(g.n)]
+        heap = [(-c, v) for v, c in enumerate(size)]
+        heapq.heapify(heap)
+        while heap:
+            c, v = heapq.heappop(heap)
+            if not left[v] or -c != size[v]:
+                continue
+            clique = grown(v)
+            rows += [(k, int(g.ids[u])) for u in sorted(clique)]
             k += 1
+            touched = set().union(*(near[u] for u in clique)) - clique
+            for u in clique:
+                left[u] = False
+            for u in touched:
+                near[u] -= clique
+            for u in touched:
+                now = len(grown(u))
+                if now != size[u]:
+                    size[u] = now
+                    heapq.heappush(heap, (-now, u))
         return pd.DataFrame(rows, columns=["clique", "id"])
 
     return run_local(graph, kernel, "clique long, id long")
