@@ -268,34 +268,67 @@ def densest_subgraph(graph: Graph, plan: str = "auto", epsilon: float | None = N
         e = steps.write(e.join(stay.toDF("a"), "a", "left_semi").join(stay.toDF("b"), "b", "left_semi"))
 
 
+#: Elimination goes over to a table of adjacent pairs at this many neighbours, once so few vertices are left.
+WIDE, TABLE = 32, 8192
+
+
 def _eliminate(graph: Graph, fill: bool) -> tuple[int, list[int]]:
-    def kernel(g: LocalGraph) -> pd.DataFrame:
-        near, left, order, width = _sets(g), set(range(g.n)), [], 0
+    """A vertex costs its neighbours, or the pairs of them that are not linked: pairs less the links counted around it.
 
-        def missing(v: int) -> int:
-            x = sorted(near[v])
-            return sum(1 for i, a in enumerate(x) for b in x[i + 1 :] if b not in near[a])
+    Links around a vertex are kept up to date, link by link that is filled in.
+    """
 
-        cost = [missing(v) if fill else len(near[v]) for v in range(g.n)]
+    def kernel(g: LocalGraph) -> pd.DataFrame:
+        near, order, width = _sets(g), [], 0
+        links = [0] * g.n
+        if fill:
+            for a in range(g.n):
+                for b in near[a]:
+                    if a < b:
+                        for x in near[a] & near[b]:
+                            links[x] += 1
+
+        def price(v: int) -> int:
+            k = len(near[v])
+            return k * (k - 1) // 2 - links[v] if fill else k
+
+        cost = [price(v) for v in range(g.n)]
+        gone = [False] * g.n
         heap = [(c, v) for v, c in enumerate(cost)]
         heapq.heapify(heap)
         while heap:
             c, v = heapq.heappop(heap)
-            if v not in left or c != cost[v]:
+            if gone[v] or c != cost[v]:
                 continue
             around = near[v]
+            if len(around) > WIDE and g.n - len(order) <= TABLE:
+                rest = np.flatnonzero(~np.array(gone))
+                more, wide = _eliminate_table(rest, near, np.array(links)[rest], fill)
+                order += more
+                width = max(width, wide)
+                break
             width = max(width, len(around))
-            left.discard(v)
+            gone[v] = True
             order.append(v)
+            again = set(around)
             for a in around:
                 near[a].discard(v)
-                near[a] |= around - {a}
-            again = set(around)
-            if fill:
-                for a in around:
-                    again |= near[a]
-            for a in again & left:
-                new = missing(a) if fill else len(near[a])
+                if fill:
+                    links[a] -= len(near[a] & around)
+            for a in around:
+                for b in around - near[a]:
+                    if b != a:
+                        if fill:
+                            both = near[a] & near[b]
+                            links[a] += len(both)
+                            links[b] += len(both)
+                            for x in both:
+                                links[x] += 1
+                            again |= both
+                        near[a].add(b)
+                        near[b].add(a)
+            for a in again:
+                new = price(a)
                 if new != cost[a]:
                     cost[a] = new
                     heapq.heappush(heap, (new, a))
@@ -305,6 +338,54 @@ def _eliminate(graph: Graph, fill: bool) -> tuple[int, list[int]]:
     return (rows[0]["width"] if rows else 0), [r["id"] for r in rows]
 
 
+def _eliminate_table(rest: np.ndarray, near: list[set[int]], links: np.ndarray, fill: bool) -> tuple[list[int], int]:
+    """(order, width) of the vertices ``rest``, ascending, by the rule of :func:`_eliminate`, over a table of adjacent pairs."""
+    m, order, width = len(rest), [], 0
+    at = {int(v): i for i, v in enumerate(rest)}
+    linked = np.zeros((m, m), bool)
+    for i, v in enumerate(rest.tolist()):
+        linked[i, [at[u] for u in near[v]]] = True
+    degree, links = linked.sum(axis=1), links.astype(np.int64)
+    there = np.ones(m, bool)
+    never = np.iinfo(np.int64).max
+    while len(order) < m:
+        v = int(np.where(there, degree * (degree - 1) // 2 - links if fill else degree, never).argmin())
+        k = np.flatnonzero(linked[v])
+        width = max(width, len(k))
+        there[v] = False
+        order.append(int(rest[v]))
+        linked[v] = linked[:, v] = False
+        degree[k] -= 1
+        inside = linked[np.ix_(k, k)]
+        held = inside.sum(axis=1)
+        links[k] -= held
+        lacks = np.flatnonzero(held < len(k) - 1)
+        if not len(lacks) and len(k) == m - len(order):
+            # What is left is a clique: it goes by id.
+            return order + rest[there].tolist(), width
+        if fill:
+            for a in k[lacks].tolist():
+                b = k[~linked[a, k]]
+                b = b[b != a]
+                if not len(b):
+                    continue
+                both = linked[b] & linked[a]
+                # Links among the new neighbours count around each of them and around a.
+                among = linked[np.ix_(b, b)].sum(axis=1)
+                shared = both.sum(axis=1)
+                links += both.sum(axis=0)
+                links[b] += shared + among
+                links[a] += shared.sum() + among.sum() // 2
+                linked[a, b] = linked[b, a] = True
+                degree[a] += len(b)
+                degree[b] += 1
+        elif len(lacks):
+            linked[np.ix_(k, k)] = True
+            linked[k, k] = False
+            degree[k] += len(k) - 1 - held
+    return order, width
+
+
 def treewidth_min_degree(graph: Graph) -> tuple[int, list[int]]:
     """(upper bound of the treewidth, elimination order) by least degree, ties to the lower id."""
     return _eliminate(graph, False)

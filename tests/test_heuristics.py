@@ -52,3 +52,37 @@ def test_clique_removal_of_many_vertices(spark):
     began = time.time()
     rows = ap.clique_removal(Graph.from_lists(spark, nodes, edges)).collect()
     assert sorted(r["id"] for r in rows) == nodes and time.time() - began < 60
+
+
+def eliminated(nodes, edges, fill):
+    near, width, order = near_of(nodes, edges), 0, []
+    while near:
+        def price(v):
+            x = sorted(near[v])
+            return sum(b not in near[a] for i, a in enumerate(x) for b in x[i + 1 :]) if fill else len(x)
+
+        v = min(near, key=lambda x: (price(x), x))
+        around = near.pop(v)
+        width = max(width, len(around))
+        order.append(v)
+        for a in around:
+            near[a] = (near[a] | around) - {a, v}
+    return width, order
+
+
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("wide", [None, 1])
+def test_elimination_follows_its_rule(spark, monkeypatch, seed, wide):
+    if wide:
+        monkeypatch.setattr(ap, "WIDE", wide)
+    nodes, edges = drawn(seed, 20, 20 + 20 * seed)
+    g = Graph.from_lists(spark, nodes, edges)
+    assert ap.treewidth_min_degree(g) == eliminated(nodes, edges, False)
+    assert ap.treewidth_min_fill_in(g) == eliminated(nodes, edges, True)
+
+
+def test_elimination_of_a_thousand_vertices(spark):
+    nodes, edges = drawn(7, 1000, 3400)
+    began = time.time()
+    width, order = ap.treewidth_min_fill_in(Graph.from_lists(spark, nodes, edges))
+    assert sorted(order) == nodes and width > 100 and time.time() - began < 20
