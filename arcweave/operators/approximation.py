@@ -13,7 +13,7 @@ from ..errors import AlgorithmError, InvalidGraph
 from ..graph import Graph
 from ..plans.local import LocalGraph, one_task, run_local
 from ..plans.tables import Steps
-from .components import SMALL
+from .components import SMALL, union_find
 from .metrics import triangles
 
 IDS = "id long"
@@ -403,16 +403,38 @@ def greedy_tsp(graph: Graph, start: int) -> tuple[list[int], float]:
     graph.require_nodes(start)
 
     def kernel(g: LocalGraph) -> pd.DataFrame:
+        if union_find(g.n, g.src, g.dst).any():
+            return pd.DataFrame()
+        begin, ends, length = g.lists()
+        free = not (np.asarray(length) > 0).all()
         at, tour, cost = g.pos(start), [g.pos(start)], 0.0
-        left = set(range(g.n)) - {at}
-        while left:
-            dist, _ = dijkstra(g, at)
-            d, v = min((dist[v], v) for v in left)
-            if not np.isfinite(d):
+        left = [True] * g.n
+        left[at] = False
+        for _ in range(g.n - 1):
+            # Only as far as the nearest one that is left, and all others at its distance.
+            near, who, dist, heap = np.inf, -1, {at: 0.0}, [(0.0, at)]
+            while heap and heap[0][0] <= near:
+                d, u = heapq.heappop(heap)
+                if d > dist[u]:
+                    continue
+                if left[u]:
+                    near, who = d, u if d < near or who < 0 else min(who, u)
+                    if not free:
+                        continue
+                for arc in range(begin[u], begin[u + 1]):
+                    v, e = ends[arc], d + length[arc]
+                    if e <= near and e < dist.get(v, np.inf):
+                        dist[v] = e
+                        if left[v]:
+                            near = e
+                        elif e == near and not free:
+                            continue
+                        heapq.heappush(heap, (e, v))
+            if who < 0:
                 return pd.DataFrame()
-            cost, at = cost + d, v
-            tour.append(v)
-            left.discard(v)
+            cost, at = cost + near, who
+            tour.append(at)
+            left[at] = False
         back = dijkstra(g, at)[0][tour[0]]
         if not np.isfinite(back):
             return pd.DataFrame()

@@ -5,6 +5,7 @@ import time
 
 import pytest
 
+from arcweave.errors import AlgorithmError
 from arcweave.graph import Graph
 from arcweave.operators import approximation as ap
 
@@ -86,3 +87,38 @@ def test_elimination_of_a_thousand_vertices(spark):
     began = time.time()
     width, order = ap.treewidth_min_fill_in(Graph.from_lists(spark, nodes, edges))
     assert sorted(order) == nodes and width > 100 and time.time() - began < 20
+
+
+def tour_of(nodes, edges, at):
+    far = {(a, b): 0.0 if a == b else float("inf") for a in nodes for b in nodes}
+    for a, b, w in edges:
+        far[a, b], far[b, a] = min(far[a, b], w), min(far[b, a], w)
+    for k in nodes:
+        for a in nodes:
+            for b in nodes:
+                far[a, b] = min(far[a, b], far[a, k] + far[k, b])
+    tour, left = [at], set(nodes) - {at}
+    while left:
+        v = min(left, key=lambda x: (far[tour[-1], x], x))
+        tour.append(v)
+        left.discard(v)
+    tour.append(at)
+    return tour, sum(far[a, b] for a, b in zip(tour, tour[1:]))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_greedy_tsp_follows_its_rule(spark, seed):
+    # Half of the graphs have edges of no length.
+    nodes, edges = drawn(seed, 18, 20, joined=True)
+    edges = edges if seed % 2 else [(a, b, w + 1) for a, b, w in edges]
+    assert ap.greedy_tsp(Graph.from_lists(spark, nodes, edges), nodes[2]) == tour_of(nodes, edges, nodes[2])
+
+
+def test_greedy_tsp_of_many_vertices(spark):
+    nodes, edges = drawn(7, 8000, 24000, joined=True)
+    edges = [(a, b, w + 1) for a, b, w in edges]
+    began = time.time()
+    tour, _ = ap.greedy_tsp(Graph.from_lists(spark, nodes, edges), 0)
+    assert sorted(tour[1:]) == nodes and time.time() - began < 60
+    with pytest.raises(AlgorithmError):
+        ap.greedy_tsp(Graph.from_lists(spark, [*nodes, 1], edges), 0)
