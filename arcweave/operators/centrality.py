@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..errors import AlgorithmError, ConvergenceFailed, InvalidArgument, InvalidGraph
 from ..graph import Expr, Graph, column
 from ..plans.local import LIMIT, LocalGraph, fits, one_task, run_local
-from ..plans.sources import distances, hops, per_source
+from ..plans.sources import distance_sums, distances, hops, per_source
 from ..plans.tables import Steps
 from .components import SMALL
 
@@ -54,7 +54,7 @@ def closeness_centrality(graph: Graph, plan: str = "auto") -> DataFrame:
     """
     _require(graph)
     _require_lengths(graph)
-    d = distances(graph, plan=plan).filter("dist > 0").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("r"), F.sum("dist").alias("s"))
+    d = distance_sums(graph, plan)
     n = graph.vertices.agg(F.count("*").alias("n"))
     value = F.when((F.col("s") > 0) & (F.col("n") > 1), F.col("r") / F.when(F.col("s") > 0, F.col("s")) * F.col("r") / F.when(F.col("n") > 1, F.col("n") - 1))
     return graph.vertices.select("id").join(d, "id", "left").crossJoin(F.broadcast(n)).select("id", F.coalesce(value, F.lit(0.0)).alias("closeness"))

@@ -210,3 +210,93 @@ def distances(graph, sources: DataFrame | None = None, cutoff: float | None = No
             out = state.select("src", "id", "dist", "pred")
             out.improving = improving
             return out
+
+
+#: Whole weights up to this are searched a level at a time, for many targets at once as bits; most bytes of the arcs' bits.
+WHOLE, BITS = 64, 64 << 20
+
+
+def distance_sums(graph, plan: str = "auto") -> DataFrame:
+    """(id, r, s, h, z): of the others that a vertex reaches along out-arcs, how many are at a positive distance, the sum of those distances and of their inverses, and how many are at distance 0.
+
+    Vertices that reach nothing may be missing.  Over a broadcast graph only these sums
+    leave a task; beyond its size :func:`distances` is aggregated.
+    """
+    if not one_task(graph, plan, LIMIT):
+        d = distances(graph, plan=plan).filter("src <> id").select("src", F.col("dist").cast("double").alias("d"))
+        far = F.when(F.col("d") > 0, F.col("d"))
+        return d.groupBy(F.col("src").alias("id")).agg(F.count(far).alias("r"), F.sum(far).alias("s"), F.sum(1.0 / far).alias("h"), F.count(F.when(F.col("d") == 0, 1)).alias("z"))
+    kind = "long" if graph.edges.schema["weight"].dataType.typeName() in ("long", "integer", "short", "byte") else "double"
+    shared = broadcast_graph(graph.map_edge_weights(F.col("weight").cast(kind)))
+    w, n = shared.value.weight, shared.value.n
+    w = w[w == w]
+    steps = bool(((w >= 1) & (w <= WHOLE) & (w == np.floor(w))).all())
+    words = int(min(16, max(1, BITS // (16 * max(1, len(w))))))
+    size = 64 * words if steps else 64
+    tasks = max(1, min(int(graph.spark.sparkContext.defaultParallelism) * 2, 4096, -(-n // size)))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = shared.value
+        sums = np.zeros((4, g.n))
+        arcs = _by_weight(g) if steps else None
+        for frame in frames:
+            for i in frame["id"]:
+                part = np.arange(i * size, min(g.n, (i + 1) * size))
+                if steps:
+                    _sums_to(g.n, arcs, part, sums)
+                else:
+                    for at in part.tolist():
+                        dist, pred = dijkstra(g, at)
+                        d = dist[(pred >= 0) & (np.arange(g.n) != at)]
+                        far = d[d > 0].astype(float)
+                        sums[:, at] = len(far), far.sum(), (1 / far).sum(), len(d) - len(far)
+        there = np.flatnonzero(sums.any(axis=0))
+        yield pd.DataFrame({"id": g.ids[there], "r": sums[0, there].astype(np.int64), "s": sums[1, there], "h": sums[2, there], "z": sums[3, there].astype(np.int64)})
+
+    parts = graph.spark.range(-(-n // size), numPartitions=tasks).mapInPandas(run, "id long, r long, s double, h double, z long")
+    return parts.groupBy("id").agg(*[F.sum(c).alias(c) for c in "rshz"])
+
+
+def _by_weight(g: LocalGraph) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(weight, from, to) of the arcs of each weight, by ascending origin."""
+    s, d, w = g.arcs("out")
+    use = (w == w) & (s != d)
+    s, d, w = s[use], d[use], w[use]
+    out = []
+    for x in np.unique(w):
+        a, b = s[w == x], d[w == x]
+        order = np.argsort(a, kind="stable")
+        out.append((int(x), a[order], b[order]))
+    return out
+
+
+def _sums_to(n: int, arcs: list[tuple[int, np.ndarray, np.ndarray]], targets: np.ndarray, sums: np.ndarray) -> None:
+    """Adds to ``sums`` (r, s, h, z) of every vertex its distances to the targets: a bit a target, a level a distance, from the targets backwards."""
+    if not len(targets):
+        return
+    seen = np.zeros((n, -(-len(targets) // 64)), np.uint64)
+    at = np.arange(len(targets))
+    seen[targets, at // 64] = np.uint64(1) << (at % 64).astype(np.uint64)
+    levels = {0: (seen.copy(), seen.any(axis=1))}
+    longest, d = max((w for w, _, _ in arcs), default=0), 0
+    while levels:
+        d += 1
+        new = np.zeros_like(seen)
+        for w, a, b in arcs:
+            if d - w in levels:
+                bits, active = levels[d - w]
+                use = active[b]
+                v, u = a[use], b[use]
+                if len(v):
+                    first = np.flatnonzero(np.diff(v, prepend=-1))
+                    new[v[first]] |= np.bitwise_or.reduceat(bits[u], first, axis=0)
+        new &= ~seen
+        rows = new.any(axis=1)
+        if rows.any():
+            seen |= new
+            levels[d] = new, rows
+            count = np.bitwise_count(new).sum(axis=1)
+            sums[0] += count
+            sums[1] += count * float(d)
+            sums[2] += count / d
+        levels.pop(d - longest, None)
