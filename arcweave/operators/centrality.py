@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..errors import AlgorithmError, ConvergenceFailed, InvalidArgument, InvalidGraph
 from ..graph import Expr, Graph, column
 from ..plans.local import LIMIT, LocalGraph, fits, one_task, run_local
-from ..plans.sources import distance_sums, distances, hops, per_source
+from ..plans.sources import distance_sums, hops, per_source
 from ..plans.tables import Steps
 from .components import SMALL
 
@@ -66,9 +66,8 @@ def harmonic_centrality(graph: Graph, plan: str = "auto") -> DataFrame:
     A negative or NaN weight raises InvalidArgument.
     """
     _require_lengths(graph)
-    d = distances(graph, plan=plan).filter("src <> id")
-    inv = F.when(F.col("dist") == 0, F.lit(float("inf"))).otherwise(1.0 / F.when(F.col("dist") != 0, F.col("dist")))
-    s = d.groupBy(F.col("src").alias("id")).agg(F.sum(inv).alias("harmonic"))
+    inverse = F.when(F.col("z") > 0, F.lit(float("inf"))).otherwise(F.coalesce("h", F.lit(0.0)))
+    s = distance_sums(graph, plan).select("id", inverse.alias("harmonic"))
     return graph.vertices.select("id").join(s, "id", "left").select("id", F.coalesce("harmonic", F.lit(0.0)).alias("harmonic"))
 
 

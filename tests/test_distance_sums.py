@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from arcweave.graph import Graph
 from arcweave.operators import centrality as ce
@@ -42,3 +43,4 @@ def test_closeness_moves_no_pairs(spark, monkeypatch):
     g = Graph.from_lists(spark, range(200), [(i, (i + 1) % 200) for i in range(200)])
     want = 199 / sum(min(k, 200 - k) for k in range(1, 200))
     assert all(v == pytest.approx(want) for (v,) in by_id(ce.closeness_centrality(g)).values())
+    assert ce.harmonic_centrality(g).agg(F.min("harmonic")).first()[0] == pytest.approx(sum(1 / min(k, 200 - k) for k in range(1, 200)))
