@@ -7,6 +7,8 @@ filled in; with ``nonzero=True`` and no ``pairs`` the all-pairs table is never f
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +40,47 @@ def _two_paths(graph: Graph, pairs: DataFrame | None) -> DataFrame:
     return pairs.select("u", "v").distinct().join(a, "u").join(b, ["v", "w"]).select("u", "v", "w")
 
 
+#: Most vertices whose ids every task holds to write out all pairs, and pairs a task writes.
+HELD, PAIRS = 4_000_000, 1_000_000
+
+
+def _filled(graph: Graph, scores: DataFrame, default: Column) -> DataFrame:
+    """(u, v, score) of all pairs u < v: each u comes once, with its scores, and is paired with all ids above it in its task, so no pair is shuffled."""
+    ids = np.sort(graph.vertices.select("id").filter("id is not null").toArrow()["id"].to_numpy())
+    shared = graph.spark.sparkContext.broadcast(ids)
+    kind, fill = dict(scores.dtypes)["score"], graph.spark.range(1).select(default.alias("x")).first()[0]
+    u_kind = dict(graph.vertices.dtypes)["id"]
+    own = scores.groupBy("u").agg(F.collect_list(F.struct("v", "score")).alias("near"))
+    rows = graph.vertices.select(F.col("id").alias("u")).filter("u is not null").join(own, "u", "left").select("u", "near.v", "near.score")
+    tasks = max(1, min(100_000, len(ids), len(ids) ** 2 // 2 // PAIRS))
+
+    def run(batches):
+        ids = shared.value
+        for batch in batches:
+            for u, near, score in zip(batch.column("u").to_pylist(), batch.column("v"), batch.column("score")):
+                above = ids[np.searchsorted(ids, u, "right") :]
+                if not len(above):
+                    continue
+                out = np.full(len(above), fill, np.float64 if kind == "double" else np.int64)
+                if near.is_valid:
+                    near, score = near.values.to_numpy(), score.values.to_numpy()
+                    at, end = np.searchsorted(above, near), np.searchsorted(above, near, "right")
+                    while (at < end).any():
+                        some = at < end
+                        out[at[some]] = score[some]
+                        at = at + 1
+                for i in range(0, len(above), 1 << 20):
+                    part = above[i : i + (1 << 20)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), u, ids.dtype)), pa.array(part), pa.array(out[i : i + (1 << 20)])], names=["u", "v", "score"])
+
+    return rows.repartition(tasks, "u").mapInArrow(run, f"u {u_kind}, v {u_kind}, score {kind}")
+
+
 def _scored(graph: Graph, pairs: DataFrame | None, scores: DataFrame, nonzero: bool, default: Column) -> DataFrame:
     if pairs is None and nonzero:
         return scores.select("u", "v", "score")
+    if pairs is None and dict(graph.vertices.dtypes)["id"] == "bigint" and dict(scores.dtypes)["score"] in ("double", "bigint") and graph.vertices.limit(HELD + 1).count() <= HELD:
+        return _filled(graph, scores.select("u", "v", "score"), default)
     base = all_pairs(graph) if pairs is None else pairs
     return base.join(scores, ["u", "v"], "left").withColumn("score", F.coalesce("score", default))
 
