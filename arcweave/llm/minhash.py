@@ -33,8 +33,8 @@ BANDS, ROWS = 40, 5
 N_HASH = BANDS * ROWS
 #: A pair whose estimate from N_HASH minima is this far below the threshold is dropped (5 standard deviations).
 SLACK = 0.14
-#: Most classes of a block, and most bytes of their sets (8 a shingle) but for one class alone.
-BLOCK_ROWS, BLOCK_BYTES = 256, 2 << 20
+#: Most classes of a block, and most bytes of their sets (8 a shingle) but for one class alone; classes that a block holds on average.
+BLOCK_ROWS, BLOCK_BYTES, BLOCK_MEAN = 256, 2 << 20, 128
 
 _rng = np.random.default_rng(11)
 _A = _rng.integers(0, 2**31, N_HASH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -197,10 +197,10 @@ def _name_column(names: np.ndarray) -> pa.Array:
 
 
 def _pack(batches):
-    """Sorted rows (unit, core, c, comp, n, set) to blocks (unit, core, block, payload).
+    """Sorted rows (unit, core, slot, c, comp, n, set) to blocks (unit, core, block, payload).
 
-    A block holds consecutive classes of one unit, core or not, and is named by its
-    first class.
+    A block holds consecutive classes of one slot of a unit, core or not, and is named by
+    its first class.
     """
     open_, held, at = [], 0, None
 
@@ -213,9 +213,9 @@ def _pack(batches):
         if not b.num_rows:
             continue
         unit, c, comp = (_names(b.column(x)) for x in ("unit", "c", "comp"))
-        core = b.column("core").to_numpy(zero_copy_only=False)
+        core, slot = (b.column(x).to_numpy(zero_copy_only=False) for x in ("core", "slot"))
         for r, s in enumerate(b.column("set")):
-            here, s = (*unit[r].tolist(), bool(core[r])), np.frombuffer(s.as_buffer(), np.uint64)
+            here, s = (*unit[r].tolist(), bool(core[r]), int(slot[r])), np.frombuffer(s.as_buffer(), np.uint64)
             if open_ and (here != at or len(open_) == BLOCK_ROWS or held + 8 * len(s) > BLOCK_BYTES):
                 yield close()
                 open_, held = [], 0
@@ -337,9 +337,13 @@ def _open_links(met: DataFrame, stars: DataFrame, sets: DataFrame, percent: int,
     meet = present.toDF("key", "u").join(present.toDF("key", "v"), "key").filter("u <= v").select("u", "v").distinct()
     meet = scratch.keep(meet, "meet")
     rows = members.join(units, "comp").join(sets.select("c", "n", "set"), "c")
-    rows = rows.select("unit", (F.col("comp") == F.col("unit")).alias("core"), "c", "comp", "n", "set")
-    rows = scratch.keep(rows, "rows")
-    blocks = rows.repartitionByRange("unit", "core", "c").sortWithinPartitions("unit", "core", "c").mapInArrow(_pack, f"unit {CLASS}, core boolean, block {CLASS}, payload binary")
+    core = (F.col("comp") == F.col("unit")).alias("core")
+    # Units of many classes go into slots by hash, so that blocks are as full, and pairs of blocks as few, whatever the partitioning.
+    wide = units.join(sizes, "comp").groupBy(F.col("unit").alias("w"), core.alias("w_core")).agg(F.sum("of").alias("of")).filter(F.col("of") > BLOCK_MEAN)
+    rows = rows.select("unit", core, "c", "comp", "n", "set").join(F.broadcast(wide), (F.col("unit") == F.col("w")) & (F.col("core") == F.col("w_core")), "left")
+    slot = F.coalesce(F.pmod(F.xxhash64("c"), F.ceil(F.col("of") / BLOCK_MEAN)), F.lit(0)).cast("long").alias("slot")
+    rows = scratch.keep(rows.select("unit", "core", slot, "c", "comp", "n", "set"), "rows")
+    blocks = rows.repartition("unit", "core", "slot").sortWithinPartitions("unit", "core", "slot", "c").mapInArrow(_pack, f"unit {CLASS}, core boolean, block {CLASS}, payload binary")
     blocks = scratch.keep(blocks, "blocks")
     scratch.drop(known, rows)
     at = blocks.select("unit", "core", "block")

@@ -236,3 +236,30 @@ def test_substrings_with_null_ids_equal_rows_and_clashing_names(spark):
         got = [(x["doc_id"], x["text"], x[n], x["n_removed"]) for x in got.collect()]
         assert sorted(got, key=str) == sorted([(i, t, expected[k][0], expected[k][1]) for k, (i, t) in enumerate(rows)], key=str)
         assert f(docs.limit(0)).count() == 0
+
+
+def test_blocks_do_not_depend_on_the_partitioning(spark, frame, monkeypatch):
+    """Members of one unit fill blocks of the same sizes over 4 and over 48 partitions."""
+    r = random.Random(5)
+    word = lambda: "w%d" % r.randrange(10**6)
+    common_part = [word() for _ in range(40)]
+    rows = [(i, " ".join(common_part + [word() for _ in range(14)])) for i in range(40)]
+    made, keep = [], minhash.Scratch.keep
+
+    def counted(self, df, name="t", codec="zstd"):
+        out = keep(self, df, name, codec)
+        if name == "blocks":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash.Scratch, "keep", counted)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("4", "48"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            minhash.near_duplicates(frame(rows), 2)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(made) == 2 and made[0] == made[1]
