@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import AlgorithmError, InvalidGraph
 from ..graph import Graph
+from ..plans.compiled import PACKED, pack, register
 from ..plans.local import LocalGraph, one_task, run_local
 from ..plans.tables import Steps
 from .components import SMALL, union_find
@@ -268,14 +269,15 @@ def densest_subgraph(graph: Graph, plan: str = "auto", epsilon: float | None = N
         e = steps.write(e.join(stay.toDF("a"), "a", "left_semi").join(stay.toDF("b"), "b", "left_semi"))
 
 
-#: Elimination goes over to a table of adjacent pairs at this many neighbours, once so few vertices are left.
+#: Elimination goes over to a table of adjacent pairs at this many neighbours, once so few vertices are left (in Java: once its bits fit the heap).
 WIDE, TABLE = 32, 8192
 
 
 def _eliminate(graph: Graph, fill: bool) -> tuple[int, list[int]]:
     """A vertex costs its neighbours, or the pairs of them that are not linked: pairs less the links counted around it.
 
-    Links around a vertex are kept up to date, link by link that is filled in.
+    Links around a vertex are kept up to date, link by link that is filled in.  The same
+    rule twice: in Java, or over sets and arrays where a session has no JVM of its own.
     """
 
     def kernel(g: LocalGraph) -> pd.DataFrame:
@@ -334,6 +336,12 @@ def _eliminate(graph: Graph, fill: bool) -> tuple[int, list[int]]:
                     heapq.heappush(heap, (new, a))
         return pd.DataFrame({"pos": np.arange(len(order)), "id": g.ids[order] if order else np.zeros(0, np.int64), "width": width})
 
+    java = register(graph.spark, "Elimination", "binary")
+    if java:
+        n = (F.octet_length("ids") / 8).cast("int")
+        ids, done = run_local(graph, pack, PACKED).select("ids", F.call_function(java, n, F.lit(fill), F.lit(WIDE), "edges")).collect()[0]
+        ids, done = np.frombuffer(ids, "<i8"), np.frombuffer(done, "<i4")
+        return int(done[-1]), ids[done[:-1]].tolist()
     rows = run_local(graph, kernel, "pos long, id long, width long").orderBy("pos").collect()
     return (rows[0]["width"] if rows else 0), [r["id"] for r in rows]
 
